@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chat
+from marginalia.llm import chat, mixing
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op4_mixing": mixing.op4_mixing,
 }
 
 SQL = {
