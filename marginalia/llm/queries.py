@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chat, mixing
+from marginalia.llm import chat, mixing, packing
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op4_mixing": mixing.op4_mixing,
+    "op9_packing": packing.op9_packing,
 }
 
 SQL = {
