@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chat, mixing, packing
+from marginalia.llm import chat, jaccard, mixing, packing
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op4_mixing": mixing.op4_mixing,
     "op9_packing": packing.op9_packing,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 
 SQL = {
