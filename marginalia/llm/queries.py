@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chat, jaccard, mixing, packing, substring
+from marginalia.llm import chat, hpylm, jaccard, mixing, packing, substring
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op4_mixing": mixing.op4_mixing,
+    "op7_lm_scoring": hpylm.op7_lm_scoring,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_packing": packing.op9_packing,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
