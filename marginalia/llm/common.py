@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -84,9 +85,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once: reliable checkpoint in the shared folder, with the lineage cut."""
+    """df, computed once: reliable checkpoint in the shared folder, with the lineage cut.
+
+    Shuffle files of what is done go when the JVM collects the objects that stood for them, so it is asked to.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

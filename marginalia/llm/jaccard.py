@@ -17,7 +17,7 @@ comparison or by a chain of exact links, and a group of near copies gives a line
 n-grams and nodes are 64-bit hashes; a set's node is the hash of all its elements.
 
 Cases: null or empty text: n_shingles 0, its own component; fewer words than n: the whole sequence is one n-gram;
-repeated texts are one node; repeated rows too; an empty table: no rows; other columns are ignored.
+repeated texts are one node; repeated rows too; null doc_id: the least; an empty table: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ UP, DOWN = 80, 100
 HOT = 12
 #: Segments beyond the pigeonhole's need that the allocation aims at, for larger sets.
 SPARE = 8
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 
 _hashes = WordHashes()
 
@@ -126,24 +129,23 @@ def signatures(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray,
             yield k, np.concatenate([*out, none]), np.arange(sum(map(len, out)) + len(none)) >= sum(map(len, out)), lose
 
 
-def _nodes(batches):
-    for b in batches:
-        rows = []
-        for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            g = shingles(text)
-            rows.append((d, len(g), node(g)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "n", "node"])
+BLOB = "bucket long, sigs binary, nodes binary, slack binary, docs binary"
+
+
+def _blob(bucket, *cells) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], [x.split()[0] for x in BLOB.split(", ")])
 
 
 def _index(buckets: int):
     def run(batches):
         seen: set[int] = set()  # copies within a task are indexed once
         for b in batches:
-            sig, who, slack = [], [], []
-            for text in b.column(0).to_pylist():
+            sig, who, slack, rows = [], [], [], []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 g = shingles(text)
-                if not len(g) or (name := node(g)) in seen:
+                name = node(g)
+                rows.append((NO_ID if doc_id is None else doc_id, len(g), name))
+                if not len(g) or name in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(name)
@@ -151,6 +153,8 @@ def _index(buckets: int):
                     sig.append(s)
                     who.append(np.full(len(s), name, np.int64))
                     slack.append(np.full(len(s), min(max(lose, -1), 30_000), np.int16))
+            if rows:
+                yield _blob([rows[0][2] % buckets], *[[b""]] * 3, [np.array(rows, np.int64).tobytes()])
             if not sig:
                 continue
             s, w, f = np.concatenate(sig), np.concatenate(who), np.concatenate(slack)
@@ -158,16 +162,14 @@ def _index(buckets: int):
             order = np.argsort(part, kind="stable")
             s, w, f, part = s[order].astype(np.uint32), w[order], f[order], part[order]
             cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cut[:-1]]), *(pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()) for x in (s, w, f))],
-                ["bucket", "sigs", "nodes", "slack"],
-            )
+            yield _blob(part[cut[:-1]], *([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (s, w, f)), [b""] * (len(cut) - 1))
 
     return run
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Of a bucket's signatures those that several sets share: (signature, node, hot, slack)."""
+    """Of a bucket's signatures those that several sets share; and, without a signature, the documents that came along."""
+    docs = np.concatenate([np.frombuffer(x, np.int64) for x in group["docs"].to_pylist()]).reshape(-1, 3)
     sig = np.concatenate([np.frombuffer(x, np.uint32) for x in group["sigs"].to_pylist()])
     who = np.concatenate([np.frombuffer(x, np.int64) for x in group["nodes"].to_pylist()])
     slack = np.concatenate([np.frombuffer(x, np.int16) for x in group["slack"].to_pylist()])
@@ -185,20 +187,42 @@ def _shared(group: pa.Table) -> pa.Table:
     size = np.repeat(n, n)
     keep = size > 1
     names = sig.astype(np.int64) << 20 | np.int64(group["bucket"][0].as_py() & 0xFFFFF)
-    return pa.table({"sig": names[keep], "node": who[keep], "hot": size[keep] > HOT, "slack": slack[keep].astype(np.int64)})
-
-
-def _grams(batches):
+    k, d = int(keep.sum()), len(docs)
+    column = lambda x, y: pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x), y if isinstance(y, pa.Array) else pa.array(y)])
+    none = lambda n, kind: pa.nulls(n, kind)
+    return pa.table({
+        "sig": column(names[keep], none(d, pa.int64())),
+        "node": column(who[keep], docs[:, 2].copy()),
+        "hot": column(size[keep] > HOT, none(d, pa.bool_())),
+        "slack": column(slack[keep].astype(np.int64), none(d, pa.int64())),
+        "doc_id": column(none(k, pa.int64()), docs[:, 0].copy()),
+        "n": column(none(k, pa.int64()), docs[:, 1].copy()),
+    })
+
+
+def _packed(batches):
+    pack = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        sets = [shingles(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
 
 
 def _linked(batches):
+    """The pairs (a, b) whose texts (za, zb) link."""
+    unpack, held = zstandard.ZstdDecompressor(), {}
+
+    def grams(name: int, z: bytes) -> np.ndarray | None:
+        if (got := held.get((name, len(z)))) is None:
+            if len(held) > 200:
+                held.clear()
+            got = held[name, len(z)] = shingles(unpack.decompress(z))
+        return got if node(got) == name else None  # another text under the same doc_id
+
     for b in batches:
         keep = []
-        for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for i, (a, other, za, zb) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)))):
+            x, y = grams(a, za), grams(other, zb)
+            if x is None or y is None:
+                continue
             both = len(np.intersect1d(x, y, assume_unique=True))
             if both * DOWN >= (len(x) + len(y) - both) * UP:
                 keep.append(i)
@@ -206,7 +230,7 @@ def _linked(batches):
 
 
 class _Texts:
-    """Sets of nodes: read again from each node's least document, for the nodes that are compared only."""
+    """Texts of nodes: read again from each node's least document, for the nodes that are compared only."""
 
     def __init__(self, docs: DataFrame, first: DataFrame):
         self.docs, self.first = docs, first
@@ -217,9 +241,10 @@ class _Texts:
         if pairs.isEmpty():
             return pairs
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.first.select("node", "doc_id"), "node")
-        sets = saved(self.docs.join(needed.hint("shuffle_hash"), "doc_id").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_grams, "node long, grams binary"))
-        x, y = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-        return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(_linked, "a long, b long"))
+        packed = self.docs.mapInArrow(_packed, "doc_id long, z binary")
+        texts = saved(packed.join(needed.hint("shuffle_hash"), "doc_id").select("node", "z"))
+        x, y = (texts.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
+        return saved(pairs.join(x, "a").join(y, "b").sortWithinPartitions("b").select("a", "b", "za", "zb").mapInArrow(_linked, "a long, b long").distinct())
 
 
 def _across(group: pa.Table) -> pa.Table:
@@ -236,12 +261,11 @@ def _across(group: pa.Table) -> pa.Table:
 def ngram_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
-    found = saved(docs.mapInArrow(_nodes, "doc_id long, n long, node long"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), utf8("text").alias("text"))
+    blobs = docs.mapInArrow(_index(partitions(spark)), BLOB)
+    both = saved(blobs.groupBy("bucket").applyInArrow(_shared, "sig long, node long, hot boolean, slack long, doc_id long, n long"))
+    shared, found = both.where("sig is not null"), both.where("sig is null").select("doc_id", "n", "node")
     first = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    n = partitions(spark)
-    blobs = docs.select("text").mapInArrow(_index(n), "bucket long, sigs binary, nodes binary, slack binary")
-    shared = saved(blobs.groupBy("bucket").applyInArrow(_shared, "sig long, node long, hot boolean, slack long"))
     # A set that can lose all its hot segments is found by the others.
     held = shared.where("hot").groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min("slack").alias("least")).where("k > least").select("node")
     groups = shared.where("not hot").select("sig", "node").union(shared.where("hot").select("sig", "node").join(held, "node", "left_semi").select("sig", "node"))
@@ -260,7 +284,8 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
         roots = components(links.union(more))
     named = found.join(roots, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
     ids = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(ids, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    real = F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id")
+    return named.join(ids, "root", "left").select(real, F.col("n").alias("n_shingles"), F.expr(f"nullif(coalesce(least, doc_id), {NO_ID})").alias("component_id"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
