@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WordHashes, partitions, saved, table, utf8, window_hashes
+from marginalia.llm.common import WordHashes, mixed, partitions, saved, table, utf8, window_hashes
 
 WINDOW = 20
 FIRST = 10
@@ -55,7 +55,7 @@ def anchors(words: np.ndarray, window: int = WINDOW, first: int = FIRST) -> tupl
     return short, least, sliding(np.concatenate([pad, least, pad]), k, np.maximum) == short
 
 
-def _blobs(buckets: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket: its entries' columns as bytes."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -64,14 +64,29 @@ def _blobs(buckets: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) ->
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int64)), *cells], ["bucket", *columns])
 
 
-def _places(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch | None:
-    """A row for each document: its starts as bytes."""
-    if not len(doc):
-        return None
-    order = np.lexsort((start, key, doc))
-    doc, key, start = doc[order], key[order], start[order].astype(np.int32)
+PLACES = "part long, doc binary, key binary, at binary"
+
+
+def _part(doc: np.ndarray, key: np.ndarray, parts: int) -> np.ndarray:
+    """Where a document's texts and places meet."""
+    return (mixed(doc.view(np.uint64) ^ (key.view(np.uint64) >> np.uint64(1))) % np.uint64(parts)).astype(np.int64)
+
+
+def _places(doc: np.ndarray, key: np.ndarray, at: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part: the documents and starts of its places as bytes."""
+    out = _blobs(_part(doc, key, parts), {"doc": doc, "key": key, "at": at.astype(np.int32)})
+    return out.rename_columns(["part", "doc", "key", "at"])
+
+
+def _by_document(places: pa.Table) -> dict[tuple[int, int], np.ndarray]:
+    """Starts of each document."""
+    if not len(places):
+        return {}
+    doc, key, at = _columns(places, {"doc": np.int64, "key": np.int64, "at": np.int32})
+    order = np.lexsort((key, doc))
+    doc, key, at = doc[order], key[order], at[order]
     cut = np.r_[np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]), len(doc)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.array(key[cut[:-1]]), pa.array([start[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["doc_id", "key", "starts"])
+    return {(int(doc[i]), int(key[i])): at[i:j] for i, j in zip(cut[:-1], cut[1:])}
 
 
 def _flat(sizes: list[int], values) -> np.ndarray:
@@ -97,35 +112,27 @@ def _first_level(batches, buckets: int, ask: bool, window: int, first: int):
         _, one, back, n = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
         if ask:
             s = sig[one]
-            yield _blobs(buckets, (s >> np.uint64(32)) % np.uint64(buckets), {"sig": s.astype(np.uint32), "doc": doc[one], "key": key[one], "at": at[one].astype(np.int32)})
-        elif (out := _places(*(x[n[back] > 1] for x in (doc, key, at)))) is not None:
-            yield out
+            yield _blobs(((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), {"sig": s.astype(np.uint32), "doc": doc[one], "key": key[one], "at": at[one].astype(np.int32)})
+        else:
+            yield _places(*(x[n[back] > 1] for x in (doc, key, at)), buckets)
 
 
 def _columns(group: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(x, kind) for x in group[name].to_pylist()]) for name, kind in kinds.items()]
 
 
-PLACES = "doc_id long, key long, starts binary"
-
-
-def _or_none(batch: pa.RecordBatch | None) -> pa.Table:
-    kinds = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary())])
-    return pa.Table.from_batches([batch] if batch is not None else [], kinds)
-
-
-def _repeated(group: pa.Table) -> pa.Table:
+def _repeated(group: pa.Table, parts: int) -> pa.Table:
     sig, doc, key, at = _columns(group, {"sig": np.uint32, "doc": np.int64, "key": np.int64, "at": np.int32})
     _, back, n = np.unique(sig, return_inverse=True, return_counts=True)
     many = n[back] > 1
-    return _or_none(_places(doc[many], key[many], at[many]))
+    return pa.Table.from_batches([_places(doc[many], key[many], at[many], parts)])
 
 
-def _later(group: pa.Table) -> pa.Table:
+def _later(group: pa.Table, parts: int) -> pa.Table:
     """Of each hash the places but the first."""
     sig, doc, key, at = _columns(group, {"sig": np.uint64, "doc": np.int64, "key": np.int64, "at": np.int32})
     keep = _not_first(sig, doc, at)
-    return _or_none(_places(doc[keep], key[keep], at[keep]))
+    return pa.Table.from_batches([_places(doc[keep], key[keep], at[keep], parts)])
 
 
 def _not_first(sig: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -139,72 +146,83 @@ def _not_first(sig: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _last_level(batches, buckets: int, ask: bool, window: int, first: int):
-    """Candidates' full windows. ask: blobs of the first place of each in the batch; else: its later places."""
-    unpack = zstandard.ZstdDecompressor()
-    for b in batches:
-        ids, keys, sig, deal, at = b.column(0).to_pylist(), b.column(1).to_pylist(), [], [], []
-        for z, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            words = _hashes.of(unpack.decompress(z).split())
-            short, least, _ = anchors(words, window, first)
-            marked = np.full(len(short), np.iinfo(np.uint64).max, np.uint64)
-            own = np.concatenate([np.frombuffer(x, np.int32) for x in starts])
-            marked[own] = short[own]
-            at.append(np.flatnonzero(sliding(marked, window - first + 1) == least))
-            sig.append(window_hashes(words, window)[at[-1]])
-            deal.append(window_hashes(words, window, DEAL)[at[-1]])
-        sizes = [len(x) for x in sig]
-        if not sum(sizes):
+def _last_level(docs: pa.Table, places: pa.Table, buckets: int, ask: bool, window: int, first: int) -> pa.Table:
+    """Candidates' full windows. ask: blobs of the first place of each in the part; else: its later places."""
+    unpack, starts = zstandard.ZstdDecompressor(), _by_document(places)
+    ids, keys, sig, deal, at = [], [], [], [], []
+    for doc_id, key, z in zip(*(docs[k].to_pylist() for k in ("doc_id", "key", "z"))):
+        if (own := starts.get((doc_id, key))) is None:
             continue
-        doc, key, sig, deal, at = _flat(sizes, ids), _flat(sizes, keys), np.concatenate(sig), np.concatenate(deal), np.concatenate(at)
-        later = _not_first(sig, doc, at)
-        if ask:
-            yield _blobs(buckets, deal[~later] % np.uint64(buckets), {"sig": sig[~later], "doc": doc[~later], "key": key[~later], "at": at[~later].astype(np.int32)})
-        elif (out := _places(doc[later], key[later], at[later])) is not None:
-            yield out
-
-
-def _packed(batches):
+        words = _hashes.of(unpack.decompress(z).split())
+        short, least, _ = anchors(words, window, first)
+        marked = np.full(len(short), np.iinfo(np.uint64).max, np.uint64)
+        marked[own] = short[own]
+        at.append(np.flatnonzero(sliding(marked, window - first + 1) == least))
+        sig.append(window_hashes(words, window)[at[-1]])
+        deal.append(window_hashes(words, window, DEAL)[at[-1]])
+        ids.append(doc_id), keys.append(key)
+    sizes = [len(x) for x in sig]
+    joined = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+    doc, key, sig, deal, at = _flat(sizes, ids), _flat(sizes, keys), joined(sig, np.uint64), joined(deal, np.uint64), joined(at, np.int64)
+    later = _not_first(sig, doc, at)
+    if ask:
+        out = _blobs((deal[~later] % np.uint64(buckets)).astype(np.int64), {"sig": sig[~later], "doc": doc[~later], "key": key[~later], "at": at[~later].astype(np.int32)})
+    else:
+        out = _places(doc[later], key[later], at[later], buckets)
+    return pa.Table.from_batches([out])
+
+
+def _packed(batches, parts: int):
     pack = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack.compress(t) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "z"])
-
-
-def _kept(batches, window: int):
-    unpack = zstandard.ZstdDecompressor()
-    for b in batches:
-        n, gone, kept = [], [], []
-        for z, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            words = unpack.decompress(z).split()
-            n.append(len(words))
-            if starts:
-                at = np.concatenate([np.frombuffer(x, np.int32) for x in starts])
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                stay = np.cumsum(edge)[:-1] == 0
-                words = [words[i] for i in np.flatnonzero(stay)]
-            gone.append(n[-1] - len(words))
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+        part = _part(b.column(0).to_numpy(), b.column(1).to_numpy(), parts)
+        yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), b.column(1), pa.array([pack.compress(t) for t in b.column(2).to_pylist()], pa.binary())], ["part", "doc_id", "key", "z"])
+
+
+def _kept(docs: pa.Table, places: pa.Table, window: int) -> pa.Table:
+    unpack, starts = zstandard.ZstdDecompressor(), _by_document(places)
+    n, gone, kept = [], [], []
+    for doc_id, key, z in zip(*(docs[k].to_pylist() for k in ("doc_id", "key", "z"))):
+        words = unpack.decompress(z).split()
+        n.append(len(words))
+        if (at := starts.get((doc_id, key))) is not None:
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + window, -1)
+            words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+        gone.append(n[-1] - len(words))
+        kept.append(b" ".join(words))
+    return pa.table([docs["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.large_binary() if sum(map(len, kept)) >> 31 else pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space, as bytes)."""
     n = partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), utf8("text").alias("text"))
-    packed = rows.mapInArrow(_packed, "doc_id long, key long, z binary")
+    packed = rows.mapInArrow(partial(_packed, parts=n), "part long, doc_id long, key long, z binary").groupBy("part")
     blobs = "bucket long, sig binary, doc binary, key binary, at binary"
+    how = {"buckets": n, "window": window, "first": first}
+
+    def repeated(group: pa.Table) -> pa.Table:
+        return _repeated(group, n)
+
+    def later(group: pa.Table) -> pa.Table:
+        return _later(group, n)
+
+    def asked(docs: pa.Table, places: pa.Table) -> pa.Table:
+        return _last_level(docs, places, ask=True, **how)
+
+    def known(docs: pa.Table, places: pa.Table) -> pa.Table:
+        return _last_level(docs, places, ask=False, **how)
 
-    def level(source: DataFrame, run, answer) -> DataFrame:
-        asked = source.mapInArrow(partial(run, buckets=n, ask=True, window=window, first=first), blobs)
-        own = source.mapInArrow(partial(run, buckets=n, ask=False, window=window, first=first), PLACES)
-        found = asked.groupBy("bucket").applyInArrow(answer, PLACES).union(own)
-        return saved(found.groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts")))
+    def kept(docs: pa.Table, places: pa.Table) -> pa.Table:
+        return _kept(docs, places, window)
 
-    candidates = level(rows, _first_level, _repeated)
-    removed = level(packed.join(candidates, ["doc_id", "key"]), _last_level, _later)
-    out = packed.join(removed, ["doc_id", "key"], "left").select("doc_id", "z", "starts").mapInArrow(partial(_kept, window=window), "doc_id long, n_words long, n_removed long, kept binary")
+    short = rows.mapInArrow(partial(_first_level, ask=True, **how), blobs).groupBy("bucket").applyInArrow(repeated, PLACES)
+    candidates = saved(short.union(rows.mapInArrow(partial(_first_level, ask=False, **how), PLACES)))
+    full = packed.cogroup(candidates.groupBy("part"))
+    removed = saved(full.applyInArrow(asked, blobs).groupBy("bucket").applyInArrow(later, PLACES).union(full.applyInArrow(known, PLACES)))
+    out = packed.cogroup(removed.groupBy("part")).applyInArrow(kept, "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {LEAST_ID})"))
 
 
