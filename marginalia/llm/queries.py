@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chat, hpylm, jaccard, mixing, packing, pii, quality, substring
+from marginalia.llm import chat, hpylm, jaccard, media, mixing, packing, pii, quality, substring
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_media_columns": media.op3_media_columns,
     "op4_mixing": mixing.op4_mixing,
     "op5_pii": pii.op5_pii,
     "op7_lm_scoring": hpylm.op7_lm_scoring,
