@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chat, hpylm, jaccard, media, mixing, packing, pii, quality, substring
+from marginalia.llm import ann, chat, hpylm, jaccard, media, mixing, packing, pii, quality, substring
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media_columns": media.op3_media_columns,
     "op4_mixing": mixing.op4_mixing,
     "op5_pii": pii.op5_pii,
+    "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_lm_scoring": hpylm.op7_lm_scoring,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_packing": packing.op9_packing,
