@@ -92,7 +92,7 @@ def _joined(rows: DataFrame, plan: DataFrame, n: int, keys: list[str]) -> DataFr
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, cap: float = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, quota (its shard's blocks), taken."""
+    """doc_id, source, size, source_size, target, quota (its shard's blocks), taken, copies (times that its first word's block is taken)."""
     spark = docs.sparkSession
     sized = saved(docs.select("doc_id", "source", words_in("text").alias("size")))  # texts are read once
     sources = sorted(((r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
@@ -123,14 +123,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: floa
     lines = lines.withColumn("again", F.col("quota") % n).withColumn("whole", F.floor(F.col("quota") / n))
     lines = lines.withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), n))
 
+    def chosen(j: Column) -> Column:
+        """How many of the blocks before j, counted from the seeded start, are chosen once more."""
+        return F.floor((j + F.col("start")) * F.col("again") / n)
+
     def before(x: Column) -> Column:
         """Words before x that the blocks chosen once more hold."""
         b, rest = F.floor(x / block_words), x % block_words
-        chosen = lambda j: F.floor((j + F.col("start")) * F.col("again") / n)
         return block_words * (chosen(b) - chosen(F.lit(0))) + rest * (chosen(b + 1) - chosen(b))
 
     taken = F.col("whole") * F.col("size") + before(F.col("ends")) - before(F.col("begins"))
-    return lines.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"))
+    own = F.floor(F.col("begins") / block_words)
+    copies = F.col("whole") + chosen(own + 1) - chosen(own)
+    return lines.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """docs, each whole and as often as the mix takes the block that its first word is in; the columns stay."""
+    copies = mix_sources(docs, **how).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
