@@ -8,11 +8,12 @@ tolerant segments also under the hashes that leave one element out. m and t are
 enough segments left over for those that a set has no element in: these are not indexed. A set that has too few others
 (`short` below) is indexed under its empty segments too, among such sets only.
 
-Signatures that more than `HOT` sets share are costly and skipped likewise: if a set has enough segments without them, its
-links are found there. Otherwise (it has many near copies) the hot signature stays, among such sets only.
-Sets that share a signature are compared in two rounds: first each with the least one of its group, exactly; then, in
-groups that the links found don't yet connect, the pairs across components. So every link is decided by exact
-comparison or by a chain of exact links, and a group of near copies gives a linear number of pairs.
+The pigeonhole gives more than one common segment: a set that has s segments with elements, of which a linked one can spoil
+h (counted from its own size), shares s - h of them. So pairs that share fewer signatures are dropped before any text
+is read. Signatures that more than `HOT` sets share are costly and not paired: a set that can do without its hot ones
+is found by the others. Sets that can't (they have many near copies) meet in their hot signatures in two rounds: first each
+with the least one of its group; then, in groups that the links found don't yet connect, the pairs across components.
+So every link is decided by exact comparison or by a chain of exact links, and near copies give few pairs.
 
 n-grams and nodes are 64-bit hashes; a set's node is the hash of all its elements.
 
@@ -39,7 +40,7 @@ N = 5
 #: A link needs intersection * DOWN >= union * UP.
 UP, DOWN = 80, 100
 #: A signature that more sets share is a hot one.
-HOT = 12
+HOT = 6
 #: Segments beyond the pigeonhole's need that the allocation aims at, for larger sets.
 SPARE = 8
 #: Stands for a null doc_id.
@@ -96,16 +97,21 @@ def scheme(low: int, high: int) -> tuple[int, int, int]:
     return h, best[1], best[2]
 
 
-def signatures(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For both schemes of a set: its number, signatures, which of them stand for empty segments, and the segments that the set can lose."""
-    k, low, high = bands(len(grams))
-    pairs = [(k, low, high)]
+def signatures(grams: np.ndarray) -> Iterator[tuple[np.ndarray, int, bool]]:
+    """For both schemes of a set: signatures, the segments that the set can lose, and whether it is in the scheme's own band.
+
+    What differs between this set and one that links is counted from its own size, so most sets can lose many.
+    """
+    n = len(grams)
+    k, low, high = bands(n)
+    pairs = [(k, low, high, True)]
     if k:
-        pairs.append(bands(low - 1))
+        pairs.append((*bands(low - 1), False))
     with np.errstate(over="ignore"):
         spread = mixed(grams ^ np.uint64(0x27D4EB2F))
-        for k, low, high in pairs:
-            h, m, t = scheme(low, high)
+        for k, low, high, own in pairs:
+            _, m, t = scheme(low, high)
+            h = (n + (n * DOWN // UP if own else min(n, high))) * (DOWN - UP) // (DOWN + UP)
             segment = ((grams >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with the sorted hashes
             starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
             at, sums = segment[starts], np.add.reduceat(spread, starts)
@@ -126,7 +132,7 @@ def signatures(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray,
                 blank[at[~ones].astype(np.int64)] = False
                 gaps = np.flatnonzero(blank).astype(np.uint64)
                 none = name(gaps, np.full(len(gaps), 0xABCDEF0123456789, np.uint64))
-            yield k, np.concatenate([*out, none]), np.arange(sum(map(len, out)) + len(none)) >= sum(map(len, out)), lose
+            yield np.concatenate([*out, none]), lose, own
 
 
 BLOB = "bucket long, sigs binary, nodes binary, slack binary, docs binary"
@@ -149,10 +155,10 @@ def _index(buckets: int):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(name)
-                for k, s, _, lose in signatures(g):
+                for s, lose, own in signatures(g):
                     sig.append(s)
                     who.append(np.full(len(s), name, np.int64))
-                    slack.append(np.full(len(s), min(max(lose, -1), 30_000), np.int16))
+                    slack.append(np.full(len(s), 2 * min(max(lose, -1), 16_000) + own, np.int16))
             if rows:
                 yield _blob([rows[0][2] % buckets], *[[b""]] * 3, [np.array(rows, np.int64).tobytes()])
             if not sig:
@@ -167,8 +173,23 @@ def _index(buckets: int):
     return run
 
 
+#: Rows of three kinds: a document (doc_id, n, node); a pair that shares cheap signatures (a, b, how many, segments that a and that b
+#: can lose); a hot signature of a set (signature, node, segments that it can lose, whether in the scheme's own band).
+ROWS = "kind long, v0 long, v1 long, v2 long, v3 long, v4 long"
+
+
+def _pairs_within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within runs that begin at first."""
+    left, right = [], []
+    for g in np.unique(size):
+        i, j = np.triu_indices(int(g), 1)
+        start = first[size == g][:, None]
+        left.append((start + i).ravel()), right.append((start + j).ravel())
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
 def _shared(group: pa.Table) -> pa.Table:
-    """Of a bucket's signatures those that several sets share; and, without a signature, the documents that came along."""
+    """Of a bucket's signatures those that several sets share, as pairs or as hot ones; and the documents that came along."""
     docs = np.concatenate([np.frombuffer(x, np.int64) for x in group["docs"].to_pylist()]).reshape(-1, 3)
     sig = np.concatenate([np.frombuffer(x, np.uint32) for x in group["sigs"].to_pylist()])
     who = np.concatenate([np.frombuffer(x, np.int64) for x in group["nodes"].to_pylist()])
@@ -176,28 +197,29 @@ def _shared(group: pa.Table) -> pa.Table:
     order = np.argsort(sig, kind="stable")
     new = np.r_[True, np.diff(sig[order]) != 0]
     n = np.diff(np.r_[np.flatnonzero(new), len(sig)])
-    order = order[np.repeat(n > 1, n)]
+    order = order[np.repeat(n > 1, n)] if len(sig) else order
     order = order[np.lexsort((who[order], sig[order]))]
-    sig, who, slack = sig[order], who[order], slack[order]
+    sig, who, slack = sig[order], who[order], slack[order].astype(np.int64)
     if len(sig):
         once = np.r_[True, (np.diff(sig) != 0) | (np.diff(who) != 0)]
         sig, who, slack = sig[once], who[once], slack[once]
-    new = np.r_[True, np.diff(sig) != 0] if len(sig) else np.zeros(0, bool)
-    n = np.diff(np.r_[np.flatnonzero(new), len(sig)])
-    size = np.repeat(n, n)
-    keep = size > 1
+    first = np.flatnonzero(np.r_[True, np.diff(sig) != 0]) if len(sig) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(sig)])
+    hot = np.repeat(n > HOT, n)
+    few = (n > 1) & (n <= HOT)
+    a, b = _pairs_within(first[few], n[few])
+    covered = (slack[a] | slack[b]) & 1 == 1  # two sets of the upper band meet in their own scheme
+    a, b = a[covered], b[covered]
+    both = np.stack([who[a], who[b], slack[a] >> 1, slack[b] >> 1], 1)
+    pairs, count = np.unique(both, axis=0, return_counts=True) if len(both) else (both, np.zeros(0, np.int64))
     names = sig.astype(np.int64) << 20 | np.int64(group["bucket"][0].as_py() & 0xFFFFF)
-    k, d = int(keep.sum()), len(docs)
-    column = lambda x, y: pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x), y if isinstance(y, pa.Array) else pa.array(y)])
-    none = lambda n, kind: pa.nulls(n, kind)
-    return pa.table({
-        "sig": column(names[keep], none(d, pa.int64())),
-        "node": column(who[keep], docs[:, 2].copy()),
-        "hot": column(size[keep] > HOT, none(d, pa.bool_())),
-        "slack": column(slack[keep].astype(np.int64), none(d, pa.int64())),
-        "doc_id": column(none(k, pa.int64()), docs[:, 0].copy()),
-        "n": column(none(k, pa.int64()), docs[:, 1].copy()),
-    })
+    blank = lambda k: np.zeros(k, np.int64)
+    parts = [
+        [np.full(len(docs), 0), docs[:, 0], docs[:, 1], docs[:, 2], blank(len(docs)), blank(len(docs))],
+        [np.full(len(pairs), 1), pairs[:, 0], pairs[:, 1], count, pairs[:, 2], pairs[:, 3]],
+        [np.full(hot.sum(), 2), names[hot], who[hot], slack[hot] >> 1, slack[hot] & 1, blank(hot.sum())],
+    ]
+    return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], names=[x.split()[0] for x in ROWS.split(", ")])
 
 
 def _packed(batches):
@@ -248,14 +270,18 @@ class _Texts:
 
 
 def _across(group: pa.Table) -> pa.Table:
-    """The pairs of a group whose nodes are in different components, in blocks."""
-    who, root = group["node"].to_numpy(), group["root"].to_numpy()
-    order = np.argsort(root, kind="stable")
-    who, root = who[order], root[order]
+    """The pairs of a hot group whose nodes are in different components, one of them in the scheme's own band."""
+    who, root, lose, own = (group[k].to_numpy() for k in ("node", "root", "lose", "own"))
+    order = np.lexsort((who, root))
+    who, root, lose, own = who[order], root[order], lose[order], own[order]
     ends = np.searchsorted(root, root, side="right")  # of each node's component
-    a = np.repeat(who, len(who) - ends)
-    b = np.concatenate([who[e:] for e in ends]) if len(who) else who
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    a = np.repeat(np.arange(len(who)), len(who) - ends)
+    b = np.concatenate([np.arange(e, len(who)) for e in ends]) if len(who) else a
+    keep = own[a] | own[b] == 1
+    a, b = a[keep], b[keep]
+    turn = who[a] > who[b]
+    a, b = np.where(turn, b, a), np.where(turn, a, b)
+    return pa.table({"a": who[a], "b": who[b], "lose_a": lose[a], "lose_b": lose[b]})
 
 
 def ngram_classes(docs: DataFrame) -> DataFrame:
@@ -263,22 +289,32 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), utf8("text").alias("text"))
     blobs = docs.mapInArrow(_index(partitions(spark)), BLOB)
-    both = saved(blobs.groupBy("bucket").applyInArrow(_shared, "sig long, node long, hot boolean, slack long, doc_id long, n long"))
-    shared, found = both.where("sig is not null"), both.where("sig is null").select("doc_id", "n", "node")
+    rows = saved(blobs.groupBy("bucket").applyInArrow(_shared, ROWS))
+    found = rows.where("kind = 0").select(F.col("v0").alias("doc_id"), F.col("v1").alias("n"), F.col("v2").alias("node"))
+    pairs = rows.where("kind = 1").groupBy(F.col("v0").alias("a"), F.col("v1").alias("b")).agg(F.sum("v2").alias("shared"), F.max("v3").alias("lose_a"), F.max("v4").alias("lose_b"))
+    hot = rows.where("kind = 2").select(F.col("v0").alias("sig"), F.col("v1").alias("node"), F.col("v2").alias("lose"), F.col("v3").alias("own"))
     first = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # A set that can lose all its hot segments is found by the others.
-    held = shared.where("hot").groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min("slack").alias("least")).where("k > least").select("node")
-    groups = shared.where("not hot").select("sig", "node").union(shared.where("hot").select("sig", "node").join(held, "node", "left_semi").select("sig", "node"))
-    groups = saved(groups)
     texts = _Texts(docs, first)
+
+    # A linked pair shares at least so many signatures as either set can lose, and one; less its hot ones, which weren't paired.
+    heat = saved(hot.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min("lose").alias("least")))
+    for x in "ab":
+        pairs = pairs.join(heat.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}")), x, "left")
+    cold = F.greatest(F.col("lose_a") - F.coalesce("k_a", F.lit(0)), F.col("lose_b") - F.coalesce("k_b", F.lit(0))) + 1
+    near = pairs.where(F.col("shared") >= cold).select("a", "b")
+    # A set that can lose all its hot signatures is found without them; others meet in them.
+    groups = saved(hot.join(heat.where("k > least").select("node"), "node", "left_semi"))
     least = groups.groupBy("sig").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = groups.join(least.select("sig", "a"), "sig").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    stars = saved(stars)
-    links = texts.links(stars)
+    stars = groups.join(least.select("sig", "a"), "sig").where("node > a").groupBy("a", F.col("node").alias("b")).count().where("count > 1").select("a", "b")
+    tried = saved(near.union(stars).distinct())
+    links = texts.links(tried)
     roots = components(links)
-    seen = groups.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    split = seen.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 < r1 and size > 2").select("sig")
-    rest = seen.join(split, "sig").groupBy("sig").applyInArrow(_across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    seen = groups.join(roots, "node", "left").select("sig", "node", "lose", "own", F.coalesce("root", "node").alias("root"))
+    split = seen.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("sig")
+    across = seen.join(split, "sig").groupBy("sig").applyInArrow(_across, "a long, b long, lose_a long, lose_b long")
+    met = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("lose_a").alias("l_a"), F.max("lose_b").alias("l_b"))
+    met = met.join(pairs.select("a", "b", "shared"), ["a", "b"], "left")
+    rest = met.where(F.col("met") + F.coalesce("shared", F.lit(0)) > F.greatest("l_a", "l_b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = texts.links(rest)
     if not more.isEmpty():
         roots = components(links.union(more))
