@@ -13,6 +13,7 @@ h (counted from its own size), shares s - h of them. So pairs that share fewer s
 is read. Signatures that more than `HOT` sets share are costly and not paired: a set that can do without its hot ones
 is found by the others. Sets that can't (they have many near copies) meet in their hot signatures in two rounds: first each
 with the least one of its group; then, in groups that the links found don't yet connect, the pairs across components.
+Those pairs are first held against sketches, which bound from below what two sets don't share.
 So every link is decided by exact comparison or by a chain of exact links, and near copies give few pairs.
 
 n-grams and nodes are 64-bit hashes; a set's node is the hash of all its elements.
@@ -135,22 +136,40 @@ def signatures(grams: np.ndarray) -> Iterator[tuple[np.ndarray, int, bool]]:
             yield np.concatenate([*out, none]), lose, own
 
 
-BLOB = "bucket long, sigs binary, nodes binary, slack binary, docs binary"
+BLOB = "bucket long, sigs binary, nodes binary, slack binary, docs binary, sketches binary"
 
 
 def _blob(bucket, *cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], [x.split()[0] for x in BLOB.split(", ")])
 
 
+def sketch_size(n: int) -> int:
+    """Cells of a set's sketch: a power of two, the same for all sets of a band."""
+    return 1 << max(5, (bands(n)[1] // 8 - 1).bit_length()) if n else 0
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """How many elements fall into each of equal parts of the universe, up to 255.
+
+    The sum of the cells' differences is at most the number of elements that two sets don't share.
+    """
+    size = sketch_size(len(grams))
+    if not size:
+        return b""
+    cell = (grams >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=size), 255).astype(np.uint8).tobytes()
+
+
 def _index(buckets: int):
     def run(batches):
         seen: set[int] = set()  # copies within a task are indexed once
         for b in batches:
-            sig, who, slack, rows = [], [], [], []
+            sig, who, slack, rows, sketches = [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 g = shingles(text)
                 name = node(g)
                 rows.append((NO_ID if doc_id is None else doc_id, len(g), name))
+                sketches.append(sketch(g))
                 if not len(g) or name in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -160,7 +179,7 @@ def _index(buckets: int):
                     who.append(np.full(len(s), name, np.int64))
                     slack.append(np.full(len(s), 2 * min(max(lose, -1), 16_000) + own, np.int16))
             if rows:
-                yield _blob([rows[0][2] % buckets], *[[b""]] * 3, [np.array(rows, np.int64).tobytes()])
+                yield _blob([rows[0][2] % buckets], *[[b""]] * 3, [np.array(rows, np.int64).tobytes()], [b"".join(sketches)])
             if not sig:
                 continue
             s, w, f = np.concatenate(sig), np.concatenate(who), np.concatenate(slack)
@@ -168,14 +187,14 @@ def _index(buckets: int):
             order = np.argsort(part, kind="stable")
             s, w, f, part = s[order].astype(np.uint32), w[order], f[order], part[order]
             cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-            yield _blob(part[cut[:-1]], *([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (s, w, f)), [b""] * (len(cut) - 1))
+            yield _blob(part[cut[:-1]], *([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (s, w, f)), *[[b""] * (len(cut) - 1)] * 2)
 
     return run
 
 
-#: Rows of three kinds: a document (doc_id, n, node); a pair that shares cheap signatures (a, b, how many, segments that a and that b
+#: Rows of three kinds: a document (doc_id, n, node, and the sketch); a pair that shares cheap signatures (a, b, how many, segments that a and that b
 #: can lose); a hot signature of a set (signature, node, segments that it can lose, whether in the scheme's own band).
-ROWS = "kind long, v0 long, v1 long, v2 long, v3 long, v4 long"
+ROWS = "kind long, v0 long, v1 long, v2 long, v3 long, v4 long, sketch binary"
 
 
 def _pairs_within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +238,12 @@ def _shared(group: pa.Table) -> pa.Table:
         [np.full(len(pairs), 1), pairs[:, 0], pairs[:, 1], count, pairs[:, 2], pairs[:, 3]],
         [np.full(hot.sum(), 2), names[hot], who[hot], slack[hot] >> 1, slack[hot] & 1, blank(hot.sum())],
     ]
-    return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], names=[x.split()[0] for x in ROWS.split(", ")])
+    cells = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)]
+    ends = np.cumsum([sketch_size(k) for k in docs[:, 1].tolist()]).tolist()
+    every = b"".join(group["sketches"].to_pylist())
+    sketches = [every[i:j] for i, j in zip([0, *ends], ends)]
+    cells.append(pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(len(cells[0]) - len(docs), pa.binary())]))
+    return pa.table(cells, names=[x.split()[0] for x in ROWS.split(", ")])
 
 
 def _packed(batches):
@@ -270,15 +294,21 @@ class _Texts:
 
 
 def _across(group: pa.Table) -> pa.Table:
-    """The pairs of a hot group whose nodes are in different components, one of them in the scheme's own band."""
-    who, root, lose, own = (group[k].to_numpy() for k in ("node", "root", "lose", "own"))
-    order = np.lexsort((who, root))
-    who, root, lose, own = who[order], root[order], lose[order], own[order]
+    """The pairs of a hot group whose nodes are in different components, one in the scheme's own band, and that sizes and sketches allow to link."""
+    order = np.lexsort((group["node"].to_numpy(), group["root"].to_numpy()))
+    who, root, lose, own, n = (group[k].to_numpy()[order] for k in ("node", "root", "lose", "own", "n"))
+    cells = group["sketch"].to_pylist()
+    size = min(map(len, cells))  # longer sketches are folded
+    cells = np.stack([np.frombuffer(cells[i], np.uint8).reshape(size, -1).sum(1, dtype=np.int32) for i in order])
     ends = np.searchsorted(root, root, side="right")  # of each node's component
-    a = np.repeat(np.arange(len(who)), len(who) - ends)
-    b = np.concatenate([np.arange(e, len(who)) for e in ends]) if len(who) else a
-    keep = own[a] | own[b] == 1
-    a, b = a[keep], b[keep]
+    left, right = [], []
+    for i in range(len(who)):
+        j = np.arange(ends[i], len(who))
+        j = j[(own[i] | own[j] == 1) & (np.minimum(n[i], n[j]) * DOWN >= np.maximum(n[i], n[j]) * UP)]
+        apart = np.abs(cells[j] - cells[i]).sum(1)
+        j = j[apart * (DOWN + UP) <= (n[i] + n[j]) * (DOWN - UP)]
+        left.append(np.full(len(j), i)), right.append(j)
+    a, b = np.concatenate(left), np.concatenate(right)
     turn = who[a] > who[b]
     a, b = np.where(turn, b, a), np.where(turn, a, b)
     return pa.table({"a": who[a], "b": who[b], "lose_a": lose[a], "lose_b": lose[b]})
@@ -311,7 +341,8 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
     roots = components(links)
     seen = groups.join(roots, "node", "left").select("sig", "node", "lose", "own", F.coalesce("root", "node").alias("root"))
     split = seen.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("sig")
-    across = seen.join(split, "sig").groupBy("sig").applyInArrow(_across, "a long, b long, lose_a long, lose_b long")
+    known = rows.where("kind = 0 and v1 > 0").groupBy(F.col("v2").alias("node")).agg(F.first("v1").alias("n"), F.first("sketch").alias("sketch"))
+    across = seen.join(split, "sig").join(known, "node").groupBy("sig").applyInArrow(_across, "a long, b long, lose_a long, lose_b long")
     met = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("lose_a").alias("l_a"), F.max("lose_b").alias("l_b"))
     met = met.join(pairs.select("a", "b", "shared"), ["a", "b"], "left")
     rest = met.where(F.col("met") + F.coalesce("shared", F.lit(0)) > F.greatest("l_a", "l_b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
