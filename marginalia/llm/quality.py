@@ -96,8 +96,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.nda
     return np.frombuffer(found[0]["w"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with a column score (double); the text may be null."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """docs with a column `name` (double) that none of them has; the text may be null."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     names = docs.columns
 
@@ -108,9 +108,9 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             for text in b.column(len(names)).to_pylist():
                 at = features(text)
                 out.append(float(logistic(w[-1] + w[at].sum(dtype=np.float64) / np.sqrt(max(1, len(at))))))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.float64())], [*names, name])
 
-    schema = docs.limit(0).withColumn("score", F.lit(0.0)).schema
+    schema = docs.limit(0).withColumn(name, F.lit(0.0)).schema
     return docs.withColumn("_utf8", utf8("text")).mapInArrow(run, schema)
 
 
