@@ -21,7 +21,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more; it learns from the labels that are not held out."""
     labels = tuned(spark).read.parquet(f"{sf_dir}/labels.parquet")
     weights = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
-    return quality.score(docs, weights).where("score >= 0.5").select(*docs.columns)
+    return quality.score(docs, weights, "_quality_score").where("_quality_score >= 0.5").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
