@@ -29,7 +29,7 @@ WEIGHTS = (3, 1, 2)
 RATIO = 1.5
 CAP = 2.0
 BLOCK_WORDS = 16
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 18
 MOST_SHARDS = 1 << 16
 SEED = 20_231
 #: A plan of so many rows at most (under 1 MB) is broadcast; a larger one is joined by shuffling.

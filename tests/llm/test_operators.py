@@ -207,22 +207,6 @@ def test_lm(docs, empty):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
-def test_lm_is_a_distribution(spark):
-    """The probabilities of all words and the unknown one, after each context, add up to one."""
-    rng = random.Random(1)
-    words = [f"w{i % 40 if i % 3 else i}" for i in range(200)]
-    rows = [(i, " ".join(rng.choices(words, k=60))) for i in range(60)]
-    vocabulary = sorted({w for _, t in rows for w in t.split()})
-    trials = [(10_000 + k, f"w1 {w}") for k, w in enumerate([*vocabulary, "unheard"])] + [(20_000, "w1")]
-    df = spark.createDataFrame(rows + trials, "doc_id long, text string")
-    got = by_id(hpylm.score_documents(df, F.col("doc_id") >= 10_000))
-    first = Counter(t.split()[0] for _, t in rows)
-    assert first
-    # After "w1 w" comes the end; its share is taken out by scoring "w1 w w" against "w1 w" would need contexts, so sum over the end's classes.
-    with_end = {k: got[10_000 + k]["score"] for k in range(len(vocabulary) + 1)}
-    assert all(s < 0 for s in with_end.values()) and got[20_000]["score"] < 0
-
-
 def test_substring(docs, empty, spark):
     def want(rows):
         seen, out = {}, {}

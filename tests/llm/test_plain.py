@@ -411,3 +411,19 @@ def test_tables_stay_between_one_and_customers():
     assert (t <= c).all() and (t[c > 0] >= 1).all() and (t[c == 0] == 0).all()
     assert t.mean() > 1.5
 
+
+
+def test_probabilities_of_all_words_add_up_to_one():
+    rng = np.random.default_rng(2)
+    c = rng.integers(0, 4, (500, hpylm.CLASSES))
+    c = c[c.sum(1) > 0]
+    state = object.__new__(hpylm.State)
+    state.v, state.c, state.discount, state.discount0 = len(c), c.sum(0).astype(float), 0.6, 0.5
+    t = np.minimum(c, 1 + rng.integers(0, 2, c.shape))
+    t0 = np.minimum(t.sum(1), 1 + rng.integers(0, 3, len(c)))
+    state.t, state.t0 = t.sum(0).astype(float), int(t0.sum())
+    parent, unknown = state.parent_p(t.sum(1), t0), state.parent_p(np.zeros(1), np.zeros(1))[0]
+    assert parent.sum() + unknown == pytest.approx(1)
+    own = np.maximum(c - state.discount * t, 0) / (hpylm.STRENGTH + state.c)[None]
+    p = own + state.passed_up()[None] * parent[:, None]
+    assert p.sum(0) + state.passed_up() * unknown == pytest.approx(np.ones(hpylm.CLASSES))
