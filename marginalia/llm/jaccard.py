@@ -11,8 +11,9 @@ enough segments left over for those that a set has no element in: these are not
 The pigeonhole gives more than one common segment: a set that has s segments with elements, of which a linked one can spoil
 h (counted from its own size), shares s - h of them. So pairs that share fewer signatures are dropped before any text
 is read. Signatures that more than `HOT` sets share are costly and not paired: a set that can do without its hot ones
-is found by the others. Sets that can't (they have many near copies) meet in their hot signatures in two rounds: first each
-with the least one of its group; then, in groups that the links found don't yet connect, the pairs across components.
+is found by the others. Sets that can't (they have many near copies) meet in their hot signatures in rounds: first each
+with the least one of its group; then, in groups that the links found don't yet connect, with the nearest of another
+component, a few times over; at last, where components are still apart, all pairs across them.
 Those pairs are first held against sketches, which bound from below what two sets don't share.
 So every link is decided by exact comparison or by a chain of exact links, and near copies give few pairs.
 
@@ -44,6 +45,8 @@ UP, DOWN = 80, 100
 HOT = 6
 #: Segments beyond the pigeonhole's need that the allocation aims at, for larger sets.
 SPARE = 8
+#: Rounds in which nodes of hot groups are compared with the nearest of another component, before all pairs are looked at.
+NEAREST_ROUNDS = 3
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -293,25 +296,50 @@ class _Texts:
         return saved(pairs.join(x, "a").join(y, "b").sortWithinPartitions("b").select("a", "b", "za", "zb").mapInArrow(_linked, "a long, b long").distinct())
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """The pairs of a hot group whose nodes are in different components, one in the scheme's own band, and that sizes and sketches allow to link."""
-    order = np.lexsort((group["node"].to_numpy(), group["root"].to_numpy()))
-    who, root, lose, own, n = (group[k].to_numpy()[order] for k in ("node", "root", "lose", "own", "n"))
-    cells = group["sketch"].to_pylist()
-    size = min(map(len, cells))  # longer sketches are folded
-    cells = np.stack([np.frombuffer(cells[i], np.uint8).reshape(size, -1).sum(1, dtype=np.int32) for i in order])
-    ends = np.searchsorted(root, root, side="right")  # of each node's component
+class _Group:
+    """A hot group, its nodes in order of their components."""
+
+    def __init__(self, group: pa.Table):
+        order = np.lexsort((group["node"].to_numpy(), group["root"].to_numpy()))
+        self.who, self.root, self.lose, self.own, self.n = (group[k].to_numpy()[order] for k in ("node", "root", "lose", "own", "n"))
+        cells = group["sketch"].to_pylist()
+        size = min(map(len, cells))  # longer sketches are folded
+        self.cells = np.stack([np.frombuffer(cells[i], np.uint8).reshape(size, -1).sum(1, dtype=np.int32) for i in order])
+
+    def allowed(self, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places j those that i may link with, by schemes, sizes and sketches, and how far the sketches are apart."""
+        n = self.n
+        j = j[(self.own[i] | self.own[j] == 1) & (np.minimum(n[i], n[j]) * DOWN >= np.maximum(n[i], n[j]) * UP)]
+        apart = np.abs(self.cells[j] - self.cells[i]).sum(1)
+        near = apart * (DOWN + UP) <= (n[i] + n[j]) * (DOWN - UP)
+        return j[near], apart[near]
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        turn = self.who[a] > self.who[b]
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        return {"a": self.who[a], "b": self.who[b], "lose_a": self.lose[a], "lose_b": self.lose[b]}
+
+
+def _closest(group: pa.Table) -> pa.Table:
+    """Each node of a hot group with the node of another component whose sketch is the nearest."""
+    g = _Group(group)
+    first, ends = (np.searchsorted(g.root, g.root, side=side) for side in ("left", "right"))
     left, right = [], []
-    for i in range(len(who)):
-        j = np.arange(ends[i], len(who))
-        j = j[(own[i] | own[j] == 1) & (np.minimum(n[i], n[j]) * DOWN >= np.maximum(n[i], n[j]) * UP)]
-        apart = np.abs(cells[j] - cells[i]).sum(1)
-        j = j[apart * (DOWN + UP) <= (n[i] + n[j]) * (DOWN - UP)]
-        left.append(np.full(len(j), i)), right.append(j)
-    a, b = np.concatenate(left), np.concatenate(right)
-    turn = who[a] > who[b]
-    a, b = np.where(turn, b, a), np.where(turn, a, b)
-    return pa.table({"a": who[a], "b": who[b], "lose_a": lose[a], "lose_b": lose[b]})
+    for i in range(len(g.who)):
+        j, apart = g.allowed(i, np.r_[np.arange(first[i]), np.arange(ends[i], len(g.who))])
+        if len(j):
+            left.append(i), right.append(j[np.argmin(apart)])
+    found = g.pairs(np.array(left, np.int64), np.array(right, np.int64))
+    return pa.table({"a": found["a"], "b": found["b"]})
+
+
+def _across(group: pa.Table) -> pa.Table:
+    """All pairs of a hot group whose nodes are in different components and may link."""
+    g = _Group(group)
+    ends = np.searchsorted(g.root, g.root, side="right")  # of each node's component
+    right = [g.allowed(i, np.arange(ends[i], len(g.who)))[0] for i in range(len(g.who))]
+    left = np.repeat(np.arange(len(right)), [len(j) for j in right])
+    return pa.table(g.pairs(left, np.concatenate(right)))
 
 
 def ngram_classes(docs: DataFrame) -> DataFrame:
@@ -339,10 +367,23 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
     tried = saved(near.union(stars).distinct())
     links = texts.links(tried)
     roots = components(links)
-    seen = groups.join(roots, "node", "left").select("sig", "node", "lose", "own", F.coalesce("root", "node").alias("root"))
-    split = seen.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("sig")
     known = rows.where("kind = 0 and v1 > 0").groupBy(F.col("v2").alias("node")).agg(F.first("v1").alias("n"), F.first("sketch").alias("sketch"))
-    across = seen.join(split, "sig").join(known, "node").groupBy("sig").applyInArrow(_across, "a long, b long, lose_a long, lose_b long")
+
+    def parted(roots: DataFrame):
+        """Hot groups that the links found don't connect."""
+        seen = groups.join(roots, "node", "left").select("sig", "node", "lose", "own", F.coalesce("root", "node").alias("root"))
+        split = seen.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("sig")
+        return seen.join(split, "sig").join(known, "node").groupBy("sig")
+
+    for _ in range(NEAREST_ROUNDS):
+        fresh = saved(parted(roots).applyInArrow(_closest, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        joining = texts.links(fresh)
+        tried = saved(tried.union(fresh))
+        if joining.isEmpty():
+            break
+        links = saved(links.union(joining))
+        roots = components(links)
+    across = parted(roots).applyInArrow(_across, "a long, b long, lose_a long, lose_b long")
     met = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("lose_a").alias("l_a"), F.max("lose_b").alias("l_b"))
     met = met.join(pairs.select("a", "b", "shared"), ["a", "b"], "left")
     rest = met.where(F.col("met") + F.coalesce("shared", F.lit(0)) > F.greatest("l_a", "l_b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
