@@ -40,8 +40,6 @@ CLASSES = 8
 ENDINGS = 1024
 BURN, SAMPLES = 1, 2
 STRENGTH = 20.0
-#: Customers of a dish that one sweep seats anew, at most; a sweep is a random scan of larger ones.
-RESEATED = 64
 #: Distinct words that a task counts before it sends them.
 COUNTED = 300_000
 #: Bytes of text of a block, about.
@@ -231,22 +229,28 @@ def expected(c: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def seated(c: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after a sweep: up to RESEATED of its c customers leave, in turn, and sit down again.
+    """Tables of each dish after a sweep: all of its c customers leave, in turn, and sit down again.
 
     weight: (strength + discount * the restaurant's tables) * the parent's probability of the dish. One of c customers at t
     tables sits alone with chance discount * (t - 1) / c, about (all do if c is 1); who leaves opens a table in proportion
-    to weight and joins one in proportion to the other customers less discount * tables.
+    to weight and joins one in proportion to the other customers less discount * tables. As long as t stays, turns are alike,
+    so the turns until t changes are drawn at once (geometric): the work is the changes, not the customers.
     """
     t = t.astype(np.float64)
     live = np.flatnonzero(c > 1)
-    for turn in range(int(min(RESEATED, c.max(initial=0)))):
-        live = live[c[live] > turn]
-        if not len(live):
-            break
-        n, k = c[live], t[live]
-        k = k - (rng.random(len(live)) < np.clip((k - 1) * discount / n, 0, 1))
-        join = np.maximum(n - 1 - discount * k, 0)
-        t[live] = np.clip(k + (rng.random(len(live)) * (join + weight[live]) < weight[live]), 1, n)
+    left = c[live].astype(np.float64)
+    while len(live):
+        n, k, a = c[live], t[live], weight[live]
+        alone = np.clip((k - 1) * discount / n, 0, 1)
+        opens = lambda k: a / np.maximum(np.maximum(n - 1 - discount * k, 0) + a, 1e-300)
+        up, down = np.where(k < n, (1 - alone) * opens(k), 0), alone * (1 - opens(k - 1))
+        change = np.minimum(up + down, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            wait = np.where(change > 0, np.floor(np.log(1 - rng.random(len(live))) / np.log1p(-change)) + 1, np.inf)
+        left = left - wait
+        kept = left >= 0
+        live, left, up, change = live[kept], left[kept], up[kept], change[kept]
+        t[live] += np.where(rng.random(len(live)) * change < up, 1, -1)
     return t
 
 

@@ -413,6 +413,24 @@ def test_tables_stay_between_one_and_customers():
 
 
 
+def test_a_sweep_reseats_all_customers_of_large_dishes():
+    rng, n = np.random.default_rng(3), 400
+    c, weight = np.full(n, 20_000.0), np.full(n, 3.0)
+    few, many = np.ones(n), np.full(n, 2_000.0)
+    for _ in range(40):
+        few, many = hpylm.seated(c, few, weight, 0.5, rng), hpylm.seated(c, many, weight, 0.5, rng)
+    assert few.mean() == pytest.approx(many.mean(), rel=0.15)  # whatever they start from
+    turned = rng.integers(2, 40, 300).astype(float)  # turn by turn, as the docstring says
+    t = np.ones(300)
+    for turn in range(40):
+        at = np.flatnonzero(turned > turn)
+        k = t[at] - (rng.random(len(at)) < (t[at] - 1) * 0.5 / turned[at])
+        join = np.maximum(turned[at] - 1 - 0.5 * k, 0)
+        t[at] = np.clip(k + (rng.random(len(at)) * (join + 3) < 3), 1, turned[at])
+    got = np.mean([hpylm.seated(turned, np.ones(300), np.full(300, 3.0), 0.5, rng).mean() for _ in range(20)])
+    assert got == pytest.approx(t.mean(), rel=0.08)
+
+
 def test_probabilities_of_all_words_add_up_to_one():
     rng = np.random.default_rng(2)
     c = rng.integers(0, 4, (500, hpylm.CLASSES))
