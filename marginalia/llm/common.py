@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -96,6 +97,13 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of the files of DataFrames that nobody holds any more: py4j tells the JVM within a second, so that is waited for."""
+    gc.collect()
+    time.sleep(1.5)
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet under the shared folder, read back with its schema."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

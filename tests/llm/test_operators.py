@@ -207,6 +207,21 @@ def test_lm(docs, empty):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
+def test_lm_learns_the_order_of_words(spark):
+    rng = random.Random(8)
+    ring = [f"{c}same" for c in "abcdefghijklmnopqrst"]  # words of one ending: only the word itself tells what follows it
+    rows = []
+    for i in range(60):
+        k = rng.randrange(20)
+        rows.append((i, " ".join(ring[(k + j) % 20] for j in range(40))))
+    rows += [(100, " ".join(ring[j % 20] for j in range(40))), (101, " ".join(ring[-j % 20] for j in range(40))), (102, ""), (103, None), (104, "never met " * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(hpylm.score_documents(df, F.col("doc_id") >= 100))
+    assert got[100]["base_score"] == pytest.approx(got[101]["base_score"])
+    assert got[100]["score"] / 41 > -0.3 and got[101]["score"] / 41 < -1.5  # 20 words: -1.3 by chance
+    assert got[102]["score"] == got[103]["score"] < 0 and got[104]["score"] < got[102]["score"]
+
+
 def test_substring(docs, empty, spark):
     def want(rows):
         seen, out = {}, {}
