@@ -180,10 +180,10 @@ def prompt_scoring_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole review of three papers, on the stub."""
+    """The whole review of every document as a paper, on the stub."""
     from marginalia.plans.review import Reviewer
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     papers = docs.select(F.concat(F.lit("paper-"), F.col("doc_id").cast("string")).alias("paper_id"), F.col("text").alias("paper_text"))
     done = Reviewer(spark).review(papers)
     return done.meta_review.join(done.cost_total, "paper_id").join(done.calls, "paper_id")

@@ -172,6 +172,19 @@ def test_review_makes_each_call_once(spark, tmp_path):
     assert pick(single) == pick(done)
 
 
+def test_pipeline_stub_reviews_every_document(spark, tmp_path):
+    from marginalia.plans.review_queries import pipeline_stub
+
+    texts = {k: f"Paper number {k}." for k in range(1, 7)} | {9: "  "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["paper_id"]: r for r in pipeline_stub(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [f"paper-{k}" for k in range(1, 7)]  # a blank paper is left out
+    for k in (2, 6):  # each as if it were alone
+        done = Reviewer(spark).review(spark.createDataFrame([(f"paper-{k}", texts[k])], "paper_id string, paper_text string"))
+        own = done.meta_review.join(done.cost_total, "paper_id").join(done.calls, "paper_id").first()
+        assert own == got[f"paper-{k}"]
+
+
 def test_feedback(spark):
     assert feedback(spark, "A paper.").startswith("Meta-review")
 
