@@ -1,10 +1,11 @@
 """Operator 5: personal data, by patterns and by bootstrapped contextual extraction, in Spark expressions alone.
 
 Base entities (emails, IP addresses, card and phone numbers) are found by regular expressions with checks. They are the
-seeds: the two words before a seed are a lexical pattern. Words that hold a digit or @ are the instances; patterns and
-instances form a graph, and in each of ROUNDS rounds a pattern's confidence is the mean score of its distinct instances
-(patterns of less than SUPPORT summed score, or confidence below SURE, count for nothing), and an instance's score is
-the noisy-or of its patterns' confidences. Instances that reach SURE are spans of kind `context` wherever they follow one
+seeds: the two words before a seed (one, if the text has no more) are a lexical pattern, in which a word that holds a digit or @ stands as #.
+Words that hold a digit or @ are the instances; patterns and instances form a graph, and in each of ROUNDS rounds a
+pattern's confidence is the mean score of its distinct labelled instances: seeds have 1, words of an entity's full shape that
+its check refuses have 0, others are left out until a pattern has reached them (patterns of less than SUPPORT summed
+score, or confidence below SURE, count for nothing). An instance's score is the noisy-or of its patterns' confidences. Instances that reach SURE are spans of kind `context` wherever they follow one
 of these patterns.
 
 Offsets come from the texts between matches (split and extract_all cut alike). The expressions are possessive and look
@@ -41,29 +42,38 @@ SIGN = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -][0-9]", "phone
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: A word with a digit or @.
 INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Characters before an instance in which its pattern's two words are looked for.
-BEFORE = 80
+#: A word of the full shape of an address or card, or an international number.
+SHAPED = r"^[0-9]+(?:\.[0-9]+){3}$|^(?:[0-9]-?){15,18}[0-9]$|^\+[0-9][().0-9-]+[0-9]$"
 ROUNDS = 3
 SUPPORT = 3.0
 SURE = 0.8
-#: A found instance's word has at least so many digits.
+#: A found instance's word has at least so many digits, or an @.
 LEAST_DIGITS = 4
 
 
 def placed(text: Column, pattern: str, context: bool = False) -> Column:
-    """The pattern's matches: array<struct<start,end,value(,before)>> in code points."""
-    kind = "array<struct<start:int,end:int,value:string" + (",before:string" if context else "") + ">>"
+    """The pattern's matches: array<struct<start,end,value(,before)>> in code points; before: up to two words before a match that is a word."""
+    kind = "array<struct<start:int,end:int,value:string" + (",before:array<string>" if context else "") + ">>"
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
+    def last(words: Column) -> Column:
+        return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
+
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         parts = [start.alias("start"), end.alias("end"), x["value"].alias("value")]
-        parts += [F.substring(x["gap"], -BEFORE, BEFORE).alias("before")] if context else []
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(*parts))).alias("spans"))
+        parts += [last(F.concat(acc["tail"], x["words"])).alias("before")] if context else []
+        tail = [last(F.concat(acc["tail"], x["words"], F.array(F.lit("#")))).alias("tail")] if context else []
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(*parts))).alias("spans"), *tail)
+
+    def pair(v: Column, g: Column) -> Column:
+        words = [last(F.filter(F.split(g, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words")] if context else []
+        return F.struct(v.alias("value"), g.alias("gap"), *words)
 
-    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), pair)
+    tail = [F.array().cast("array<string>").alias("tail")] if context else []
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"), *tail)
     return F.aggregate(pairs, none, add, lambda acc: acc["spans"])
 
 
@@ -106,7 +116,7 @@ def _instances(text: Column, base: Column) -> Column:
             s["start"].alias("start"),
             s["end"].alias("end"),
             s["value"].alias("value"),
-            F.lower(F.regexp_extract(s["before"], r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("pattern"),
+            F.lower(F.array_join(s["before"], " ")).alias("pattern"),
             F.exists(base, lambda b: (b["start"] >= s["start"]) & (b["start"] < s["end"])).alias("seed"),
             F.exists(base, lambda b: (b["start"] < s["start"]) & (b["end"] > s["start"])).alias("inside"),
         ),
@@ -117,7 +127,8 @@ def _instances(text: Column, base: Column) -> Column:
 def confident(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """edges (pattern, value, seed) -> patterns (pattern, confidence) and instances (value, score) after the rounds."""
     graph = saved(edges.where("pattern <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    seeds = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("known"))
+    seeds = graph.groupBy("value").agg(F.max("seed").alias("seed"))
+    seeds = seeds.select("value", F.when(F.col("seed"), F.lit(1.0)).when(F.col("value").rlike(SHAPED), F.lit(0.0)).alias("known"))
     scores = seeds.select("value", "known", F.col("known").alias("score"))
     patterns = None
     for _ in range(ROUNDS):
@@ -125,7 +136,7 @@ def confident(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         patterns = saved(rated.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= SURE)).select("pattern", "confidence"))
         miss = F.exp(F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999)))))
         reached = graph.join(patterns, "pattern").groupBy("value").agg((F.lit(1.0) - miss).alias("reached"))
-        scores = saved(seeds.join(reached, "value", "left").select("value", "known", F.greatest("known", F.coalesce("reached", F.lit(0.0))).alias("score")))
+        scores = saved(seeds.join(reached, "value", "left").select("value", "known", F.coalesce("known", "reached").alias("score")))
     return patterns, scores.select("value", "score")
 
 
@@ -137,7 +148,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     rows = saved(rows.select("doc_id", "key", "base", marked.alias("words")))
     words = rows.where(F.size("words") > 0).select("doc_id", "key", F.explode("words").alias("w")).select("doc_id", "key", "w.*")
     patterns, scores = confident(words.select("pattern", "value", "seed"))
-    new = words.where(~F.col("seed") & (F.length(F.regexp_replace("value", "[^0-9]", "")) >= LEAST_DIGITS))
+    enough = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= LEAST_DIGITS) | F.col("value").contains("@")
+    new = words.where(~F.col("seed") & enough)
     new = new.join(patterns.select("pattern"), "pattern").join(scores.where(F.col("score") >= SURE).select("value"), "value")
     span = F.struct(F.lit("context").alias("kind"), F.col("start"), F.col("end"))
     found = new.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_set(span)).alias("found"))

@@ -164,6 +164,18 @@ def test_pii_contexts(spark):
     assert clean[11]["text"] == rows[7][1] and clean[12]["text"] is None and clean[0]["n_chars"] == len(clean[0]["text"])
 
 
+def test_pii_contexts_reach_records_unseen_identifiers_and_handles(spark):
+    rows = [(i, f"phone +1 555 010 {1000 + i} account user{i}@mail.example.com") for i in range(5)]
+    rows += [(10, "phone +1 555 010 9999 account 77123456"), (11, "phone +1 555 010 8888 account jane@host")]
+    rows += [(20 + i, f"mail user{i}b@mail.example.com") for i in range(4)] + [(30 + i, f"mail 4455{i}") for i in range(9)]  # one word at a start; more unseen than seen
+    rows += [(40, "invoice 991234 came"), (41, "4455 alone")]
+    rows += [(50 + i, f"host at 1.2.3.{i}") for i in range(3)] + [(60 + i, f"host at 1.2.3.{900 + i}") for i in range(3)] + [(70, "host at 123456")]  # as many refused as seeds
+    got = by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")))
+    texts = dict(rows)
+    found = {i: [texts[i][s["start"] : s["end"]] for s in r["found"]] for i, r in got.items()}
+    assert {i: f for i, f in found.items() if f} == {10: ["77123456"], 11: ["jane@host"]} | {30 + i: [f"4455{i}"] for i in range(9)}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 16)).astype(np.float32)
