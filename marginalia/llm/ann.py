@@ -2,7 +2,8 @@
 
 Equal vectors are one node (its ten least ids and one more stand for it, which is all that ten nearest can need). The
 graph starts from blocks: nodes of equal signs under random hyperplanes, split where they exceed BLOCK nodes, are
-compared among themselves, in TABLES ways. Then each round joins the graph with itself: a node's neighbours and a sample of
+compared among themselves, in TABLES ways; blocks of about SPREAD nodes dealt by a hash add edges across the whole, so that a
+node alone in its cells, or a small group, is in the graph and leaves itself. Then each round joins the graph with itself: a node's neighbours and a sample of
 those whose neighbour it is are compared pairwise, and every node keeps its DEGREE nearest, until few change. A query
 starts at its own node's neighbours and expands the nearest WIDTH it has seen, again and again, until none is left to
 expand. Distances are taken in double precision from the original vectors.
@@ -32,6 +33,8 @@ DEGREE = 24
 #: Sampled of those whose neighbour a node is.
 REVERSE = 20
 TABLES, BLOCK = 4, 150
+#: Nodes of a block dealt by a hash; well over DEGREE.
+SPREAD = 100
 ROUNDS = 6
 #: Rounds end when fewer edges than this share of all change.
 SETTLED = 0.002
@@ -112,7 +115,10 @@ def start_graph(vectors: DataFrame, n: int, dimension: int) -> DataFrame:
     sizes = signed.groupBy("t", "code").count()
     split = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("count") / BLOCK).cast("long"))
     dealt = signed.join(sizes, ["t", "code"]).withColumn("part", split)
-    return saved(_nearest(dealt.groupBy("t", "code", "part").applyInArrow(_block, EDGE)))
+    parts = F.lit(-(-n // SPREAD)).cast("long")
+    spread = vectors.select(F.lit(-1).cast("long").alias("t"), F.lit(0).cast("long").alias("code"), "node", "vec", F.pmod(F.xxhash64("node", F.lit(SEED)), parts).alias("part"))
+    blocks = dealt.select("t", "code", "node", "vec", "part").unionByName(spread)
+    return saved(_nearest(blocks.groupBy("t", "code", "part").applyInArrow(_block, EDGE)))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -202,6 +202,26 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nodes_alone_in_their_cells_have_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 4)  # 256 cells for 700 vectors, most of them in two tight clusters
+    rng = np.random.default_rng(5)
+    x = np.r_[1e-3 * rng.normal(size=(340, 16)) + 5, 1e-3 * rng.normal(size=(340, 16)) - 5, 40 * rng.normal(size=(20, 16))].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    points = ann.nodes(df)
+    degree = {r["u"]: r["n"] for r in ann.start_graph(points, 700, 16).groupBy("u").agg(F.count("v").alias("n")).collect()}
+    assert len(degree) == 700 and min(degree.values()) >= ann.K
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") >= 680).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == list(range(680, 700)) and {len(v) for v in got.values()} == {10}
+    hit = 0
+    for q, found in got.items():
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += (np.sort(d[found]) <= np.sort(d)[:10] * (1 + 1e-4)).sum()
+    assert hit >= 180
+
+
 def test_lm(docs, empty):
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     got = by_id(hpylm.score_documents(docs, held))
