@@ -11,11 +11,11 @@ enough segments left over for those that a set has no element in: these are not
 The pigeonhole gives more than one common segment: a set that has s segments with elements, of which a linked one can spoil
 h (counted from its own size), shares s - h of them. So pairs that share fewer signatures are dropped before any text
 is read. Signatures that more than `HOT` sets share are costly and not paired: a set that can do without its hot ones
-is found by the others. Sets that can't (they have many near copies) meet in their hot signatures in rounds: first each
-with the least one of its group; then, in groups that the links found don't yet connect, with the nearest of another
-component, a few times over; at last, where components are still apart, all pairs across them.
-Those pairs are first held against sketches, which bound from below what two sets don't share.
-So every link is decided by exact comparison or by a chain of exact links, and near copies give few pairs.
+is found by the others. Those that can't (they have many near copies, or a passage that many share) are first rid of
+all sets of which more than a fifth of the elements is in no other one of them: these link with nothing. The rest falls
+into families, the components of sets and hot signatures. A family is dealt in blocks of bounded size, each pair of blocks
+to one task, which counts all common elements at once and returns what is connected there: at most one row for each set. So
+every link is decided by exact comparison, and rows grow with sets, not with pairs.
 
 n-grams and nodes are 64-bit hashes; a set's node is the hash of all its elements.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,10 @@ UP, DOWN = 80, 100
 HOT = 6
 #: Segments beyond the pigeonhole's need that the allocation aims at, for larger sets.
 SPARE = 8
-#: Rounds in which nodes of hot groups are compared with the nearest of another component, before all pairs are looked at.
-NEAREST_ROUNDS = 3
+#: Sets and elements of a block of a family.
+BLOCK_SETS, BLOCK_GRAMS = 2_048, 2_000_000
+#: Elements that more sets of two blocks share are counted by products of matrices of COLUMNS columns, others by pairs.
+COMMON, COLUMNS = 16, 4_096
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -139,40 +141,22 @@ def signatures(grams: np.ndarray) -> Iterator[tuple[np.ndarray, int, bool]]:
             yield np.concatenate([*out, none]), lose, own
 
 
-BLOB = "bucket long, sigs binary, nodes binary, slack binary, docs binary, sketches binary"
+BLOB = "bucket long, sigs binary, nodes binary, slack binary, docs binary"
 
 
 def _blob(bucket, *cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], [x.split()[0] for x in BLOB.split(", ")])
 
 
-def sketch_size(n: int) -> int:
-    """Cells of a set's sketch: a power of two, the same for all sets of a band."""
-    return 1 << max(5, (bands(n)[1] // 8 - 1).bit_length()) if n else 0
-
-
-def sketch(grams: np.ndarray) -> bytes:
-    """How many elements fall into each of equal parts of the universe, up to 255.
-
-    The sum of the cells' differences is at most the number of elements that two sets don't share.
-    """
-    size = sketch_size(len(grams))
-    if not size:
-        return b""
-    cell = (grams >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=size), 255).astype(np.uint8).tobytes()
-
-
 def _index(buckets: int):
     def run(batches):
         seen: set[int] = set()  # copies within a task are indexed once
         for b in batches:
-            sig, who, slack, rows, sketches = [], [], [], [], []
+            sig, who, slack, rows = [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 g = shingles(text)
                 name = node(g)
                 rows.append((NO_ID if doc_id is None else doc_id, len(g), name))
-                sketches.append(sketch(g))
                 if not len(g) or name in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -182,7 +166,7 @@ def _index(buckets: int):
                     who.append(np.full(len(s), name, np.int64))
                     slack.append(np.full(len(s), 2 * min(max(lose, -1), 16_000) + own, np.int16))
             if rows:
-                yield _blob([rows[0][2] % buckets], *[[b""]] * 3, [np.array(rows, np.int64).tobytes()], [b"".join(sketches)])
+                yield _blob([rows[0][2] % buckets], *[[b""]] * 3, [np.array(rows, np.int64).tobytes()])
             if not sig:
                 continue
             s, w, f = np.concatenate(sig), np.concatenate(who), np.concatenate(slack)
@@ -190,14 +174,14 @@ def _index(buckets: int):
             order = np.argsort(part, kind="stable")
             s, w, f, part = s[order].astype(np.uint32), w[order], f[order], part[order]
             cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-            yield _blob(part[cut[:-1]], *([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (s, w, f)), *[[b""] * (len(cut) - 1)] * 2)
+            yield _blob(part[cut[:-1]], *([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (s, w, f)), [b""] * (len(cut) - 1))
 
     return run
 
 
-#: Rows of three kinds: a document (doc_id, n, node, and the sketch); a pair that shares cheap signatures (a, b, how many, segments that a and that b
+#: Rows of three kinds: a document (doc_id, n, node); a pair that shares cheap signatures (a, b, how many, segments that a and that b
 #: can lose); a hot signature of a set (signature, node, segments that it can lose, whether in the scheme's own band).
-ROWS = "kind long, v0 long, v1 long, v2 long, v3 long, v4 long, sketch binary"
+ROWS = "kind long, v0 long, v1 long, v2 long, v3 long, v4 long"
 
 
 def _pairs_within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,10 +226,6 @@ def _shared(group: pa.Table) -> pa.Table:
         [np.full(hot.sum(), 2), names[hot], who[hot], slack[hot] >> 1, slack[hot] & 1, blank(hot.sum())],
     ]
     cells = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)]
-    ends = np.cumsum([sketch_size(k) for k in docs[:, 1].tolist()]).tolist()
-    every = b"".join(group["sketches"].to_pylist())
-    sketches = [every[i:j] for i, j in zip([0, *ends], ends)]
-    cells.append(pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(len(cells[0]) - len(docs), pa.binary())]))
     return pa.table(cells, names=[x.split()[0] for x in ROWS.split(", ")])
 
 
@@ -255,91 +235,145 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
 
 
+def _named(batches):
+    """Texts (doc_id, z, node) whose set is that node; another text under the same doc_id is dropped."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        keep = [i for i, (z, name) in enumerate(zip(b.column("z").to_pylist(), b.column("node").to_pylist())) if node(shingles(unpack.decompress(z))) == name]
+        yield b.take(pa.array(keep, pa.int64())).select(["node", "z"])
+
+
 def _linked(batches):
     """The pairs (a, b) whose texts (za, zb) link."""
     unpack, held = zstandard.ZstdDecompressor(), {}
 
-    def grams(name: int, z: bytes) -> np.ndarray | None:
-        if (got := held.get((name, len(z)))) is None:
+    def grams(name: int, z: bytes) -> np.ndarray:
+        if (got := held.get(name)) is None:
             if len(held) > 200:
                 held.clear()
-            got = held[name, len(z)] = shingles(unpack.decompress(z))
-        return got if node(got) == name else None  # another text under the same doc_id
+            got = held[name] = shingles(unpack.decompress(z))
+        return got
 
     for b in batches:
         keep = []
         for i, (a, other, za, zb) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)))):
             x, y = grams(a, za), grams(other, zb)
-            if x is None or y is None:
-                continue
             both = len(np.intersect1d(x, y, assume_unique=True))
             if both * DOWN >= (len(x) + len(y) - both) * UP:
                 keep.append(i)
         yield b.take(pa.array(keep, pa.int64())).select([0, 1])
 
 
-class _Texts:
-    """Texts of nodes: read again from each node's least document, for the nodes that are compared only."""
-
-    def __init__(self, docs: DataFrame, first: DataFrame):
-        self.docs, self.first = docs, first
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, by exact comparison."""
-        pairs = saved(pairs)
-        if pairs.isEmpty():
-            return pairs
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.first.select("node", "doc_id"), "node")
-        packed = self.docs.mapInArrow(_packed, "doc_id long, z binary")
-        texts = saved(packed.join(needed.hint("shuffle_hash"), "doc_id").select("node", "z"))
-        x, y = (texts.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
-        return saved(pairs.join(x, "a").join(y, "b").sortWithinPartitions("b").select("a", "b", "za", "zb").mapInArrow(_linked, "a long, b long").distinct())
-
-
-class _Group:
-    """A hot group, its nodes in order of their components."""
-
-    def __init__(self, group: pa.Table):
-        order = np.lexsort((group["node"].to_numpy(), group["root"].to_numpy()))
-        self.who, self.root, self.lose, self.own, self.n = (group[k].to_numpy()[order] for k in ("node", "root", "lose", "own", "n"))
-        cells = group["sketch"].to_pylist()
-        size = min(map(len, cells))  # longer sketches are folded
-        self.cells = np.stack([np.frombuffer(cells[i], np.uint8).reshape(size, -1).sum(1, dtype=np.int32) for i in order])
-
-    def allowed(self, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the places j those that i may link with, by schemes, sizes and sketches, and how far the sketches are apart."""
-        n = self.n
-        j = j[(self.own[i] | self.own[j] == 1) & (np.minimum(n[i], n[j]) * DOWN >= np.maximum(n[i], n[j]) * UP)]
-        apart = np.abs(self.cells[j] - self.cells[i]).sum(1)
-        near = apart * (DOWN + UP) <= (n[i] + n[j]) * (DOWN - UP)
-        return j[near], apart[near]
-
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
-        turn = self.who[a] > self.who[b]
-        a, b = np.where(turn, b, a), np.where(turn, a, b)
-        return {"a": self.who[a], "b": self.who[b], "lose_a": self.lose[a], "lose_b": self.lose[b]}
-
-
-def _closest(group: pa.Table) -> pa.Table:
-    """Each node of a hot group with the node of another component whose sketch is the nearest."""
-    g = _Group(group)
-    first, ends = (np.searchsorted(g.root, g.root, side=side) for side in ("left", "right"))
-    left, right = [], []
-    for i in range(len(g.who)):
-        j, apart = g.allowed(i, np.r_[np.arange(first[i]), np.arange(ends[i], len(g.who))])
-        if len(j):
-            left.append(i), right.append(j[np.argmin(apart)])
-    found = g.pairs(np.array(left, np.int64), np.array(right, np.int64))
-    return pa.table({"a": found["a"], "b": found["b"]})
-
-
-def _across(group: pa.Table) -> pa.Table:
-    """All pairs of a hot group whose nodes are in different components and may link."""
-    g = _Group(group)
-    ends = np.searchsorted(g.root, g.root, side="right")  # of each node's component
-    right = [g.allowed(i, np.arange(ends[i], len(g.who)))[0] for i in range(len(g.who))]
-    left = np.repeat(np.arange(len(right)), [len(j) for j in right])
-    return pa.table(g.pairs(left, np.concatenate(right)))
+def _elements(batches, buckets: int):
+    """Elements of sets (node, z) for the buckets that count how many sets have each; 32 bits beside the bucket, so equal ones stay equal."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        own = [shingles(unpack.decompress(x)) for x in b.column(1).to_pylist()]
+        if not own:
+            continue
+        grams = np.concatenate(own)
+        who = np.repeat(b.column(0).to_numpy(), [len(g) for g in own])
+        part = ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        grams, who, part = grams[order].astype(np.uint32), who[order], part[order]
+        cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+        cells = ([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (grams, who))
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), *(pa.array(x, pa.binary()) for x in cells)], ["bucket", "grams", "nodes"])
+
+
+def _alone(group: pa.Table) -> pa.Table:
+    """How many of a bucket's elements no other set has, by set."""
+    grams = np.concatenate([np.frombuffer(x, np.uint32) for x in group["grams"].to_pylist()])
+    who = np.concatenate([np.frombuffer(x, np.int64) for x in group["nodes"].to_pylist()])
+    _, first, n = np.unique(grams, return_index=True, return_counts=True)
+    name, count = np.unique(who[first[n == 1]], return_counts=True)
+    return pa.table({"node": name, "alone": count})
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """[left, right] how many elements two sets share."""
+    flat = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(g) for g in (*left, *right)])
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    in_left = np.bincount(at[row < len(left)], minlength=len(n))
+    both = (in_left > 0) & (in_left < n)
+    out = np.zeros(len(left) * len(right), np.float32)
+    order = np.argsort(at, kind="stable")  # by element, those of the left before those of the right
+    first = np.cumsum(n) - n
+    few = np.flatnonzero(both & (n <= COMMON))
+    for a, b in {(int(x), int(y)) for x, y in zip(in_left[few], n[few] - in_left[few])}:
+        own = first[few[(in_left[few] == a) & (n[few] - in_left[few] == b)]]
+        x, y = row[order[own[:, None] + np.arange(a)]], row[order[own[:, None] + a + np.arange(b)]] - len(left)
+        pair, times = np.unique((x[:, :, None] * len(right) + y[:, None, :]).ravel(), return_counts=True)
+        out[pair] += times
+    out = out.reshape(len(left), len(right))
+    many = both & (n > COMMON)
+    column = np.cumsum(many) - 1
+    kept = many[at]
+    row, column = row[kept], column[at[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for i in range(0, int(many.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [i, i + COLUMNS])
+        m = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        m[row[lo:hi], column[lo:hi] - i] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _families(group: pa.Table) -> pa.Table:
+    """Of two blocks of a family (or one with itself): each set with the least that links connect it with."""
+    unpack, i, j = zstandard.ZstdDecompressor(), group["i"][0].as_py(), group["j"][0].as_py()
+    order = np.argsort(group["block"].to_numpy(), kind="stable")
+    names, cells = group["node"].to_numpy()[order], group["z"].to_pylist()
+    sets = [shingles(unpack.decompress(cells[k])) for k in order]
+    cut = len(sets) if i == j else int((group["block"].to_numpy() == i).sum())
+    left, right, offset = (sets, sets, 0) if i == j else (sets[:cut], sets[cut:], cut)
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not left or not right:
+        return none
+    both = common(left, right)
+    n = np.array([len(g) for g in sets], np.float32)
+    x, y = np.nonzero(both * DOWN >= (n[:cut, None] + n[None, offset:] - both) * UP)
+    y = y + offset
+    u, v = np.r_[x, y], np.r_[y, x]
+    if not len(u):
+        return none
+    order = np.argsort(u, kind="stable")
+    u, v = u[order], v[order]
+    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+    rank = np.argsort(np.argsort(names))
+    least = rank.copy()
+    while True:
+        new = least.copy()
+        new[u[first]] = np.minimum(least[u[first]], np.minimum.reduceat(least[v], first))
+        np.minimum.at(new, np.argsort(rank)[least], new)  # a root that found a lesser one tells so
+        new = new[np.argsort(rank)[new]]
+        if (new == least).all():
+            break
+        least = new
+    root = np.sort(names)[least]
+    moved = root != names
+    return pa.table({"a": root[moved], "b": names[moved]})
+
+
+def hot_links(groups: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): connects the sets of each hot signature that links connect. groups: sig, node; texts: node, z; sizes: node, n."""
+    spark = groups.sparkSession
+    buckets = partitions(spark)
+    mine = saved(texts.join(groups.select("node").distinct(), "node", "left_semi").join(sizes, "node"))
+    dealt = mine.select("node", "z").mapInArrow(partial(_elements, buckets=buckets), "bucket long, grams binary, nodes binary")
+    alone = dealt.groupBy("bucket").applyInArrow(_alone, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
+    able = mine.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * DOWN <= F.col("n") * (DOWN - UP)).drop("alone")
+    met = saved(groups.join(able.select("node"), "node", "left_semi"))
+    least = met.groupBy("sig").agg(F.min("node").alias("a"))
+    families = components(met.join(least, "sig").where("node > a").select("a", F.col("node").alias("b")).distinct())
+    own = families.join(mine, "node")
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("blocks")
+    own = own.join(own.groupBy("root").agg(count), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = own.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "z")
+    return placed.groupBy("root", "i", "j").applyInArrow(_families, "a long, b long")
 
 
 def ngram_classes(docs: DataFrame) -> DataFrame:
@@ -351,45 +385,24 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
     found = rows.where("kind = 0").select(F.col("v0").alias("doc_id"), F.col("v1").alias("n"), F.col("v2").alias("node"))
     pairs = rows.where("kind = 1").groupBy(F.col("v0").alias("a"), F.col("v1").alias("b")).agg(F.sum("v2").alias("shared"), F.max("v3").alias("lose_a"), F.max("v4").alias("lose_b"))
     hot = rows.where("kind = 2").select(F.col("v0").alias("sig"), F.col("v1").alias("node"), F.col("v2").alias("lose"), F.col("v3").alias("own"))
-    first = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = _Texts(docs, first)
+    first = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
     # A linked pair shares at least so many signatures as either set can lose, and one; less its hot ones, which weren't paired.
-    heat = saved(hot.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min("lose").alias("least")))
+    heat = saved(hot.groupBy("node", "own").agg(F.count(F.lit(1)).alias("k"), F.min("lose").alias("least")))
+    every = heat.groupBy("node").agg(F.sum("k").alias("k"))
     for x in "ab":
-        pairs = pairs.join(heat.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}")), x, "left")
+        pairs = pairs.join(every.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}")), x, "left")
     cold = F.greatest(F.col("lose_a") - F.coalesce("k_a", F.lit(0)), F.col("lose_b") - F.coalesce("k_b", F.lit(0))) + 1
-    near = pairs.where(F.col("shared") >= cold).select("a", "b")
-    # A set that can lose all its hot signatures is found without them; others meet in them.
-    groups = saved(hot.join(heat.where("k > least").select("node"), "node", "left_semi"))
-    least = groups.groupBy("sig").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = groups.join(least.select("sig", "a"), "sig").where("node > a").groupBy("a", F.col("node").alias("b")).count().where("count > 1").select("a", "b")
-    tried = saved(near.union(stars).distinct())
-    links = texts.links(tried)
-    roots = components(links)
-    known = rows.where("kind = 0 and v1 > 0").groupBy(F.col("v2").alias("node")).agg(F.first("v1").alias("n"), F.first("sketch").alias("sketch"))
-
-    def parted(roots: DataFrame):
-        """Hot groups that the links found don't connect."""
-        seen = groups.join(roots, "node", "left").select("sig", "node", "lose", "own", F.coalesce("root", "node").alias("root"))
-        split = seen.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("sig")
-        return seen.join(split, "sig").join(known, "node").groupBy("sig")
-
-    for _ in range(NEAREST_ROUNDS):
-        fresh = saved(parted(roots).applyInArrow(_closest, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
-        joining = texts.links(fresh)
-        tried = saved(tried.union(fresh))
-        if joining.isEmpty():
-            break
-        links = saved(links.union(joining))
-        roots = components(links)
-    across = parted(roots).applyInArrow(_across, "a long, b long, lose_a long, lose_b long")
-    met = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("lose_a").alias("l_a"), F.max("lose_b").alias("l_b"))
-    met = met.join(pairs.select("a", "b", "shared"), ["a", "b"], "left")
-    rest = met.where(F.col("met") + F.coalesce("shared", F.lit(0)) > F.greatest("l_a", "l_b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    more = texts.links(rest)
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    near = saved(pairs.where(F.col("shared") >= cold).select("a", "b"))
+    # A set that can lose all its hot signatures of a scheme is found without them; others meet in them.
+    groups = saved(hot.join(heat.where("k > least").select("node", "own"), ["node", "own"], "left_semi").select("sig", "node"))
+
+    needed = near.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct().join(first.select("node", "doc_id"), "node")
+    packed = docs.mapInArrow(_packed, "doc_id long, z binary")
+    texts = saved(packed.join(needed.hint("shuffle_hash"), "doc_id").mapInArrow(_named, "node long, z binary").dropDuplicates(["node"]))
+    x, y = (texts.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
+    links = near.join(x, "a").join(y, "b").sortWithinPartitions("b").select("a", "b", "za", "zb").mapInArrow(_linked, "a long, b long")
+    roots = components(links.union(hot_links(groups, texts, first.select("node", "n"))))
     named = found.join(roots, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
     ids = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     real = F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id")

@@ -308,7 +308,7 @@ def test_tokenizer_cache_agrees_with_the_tokenizer():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, cache = Tokenizer.from_file(path), packing.WordIds(path)
-    odd = ["a<|endoftext|>b <|ENDOFTEXT|> c", "it's I'M don't 3.14 ½ é é İ ΑΣ ß\x1c\x85z", "a\x00b \U0001f600 　  x", " ́abc", ""]
+    odd = ["a<|endoftext|>b <|ENDOFTEXT|> c", "it's I'M don't 3.14 ½ é é İ ΑΣ ß\x1c\x85z", "a\x00b \U0001f600 　  x", " ́abc", "", "plain words, with dots... and 12 digits!! naïve été ß œuvre привет", "e\u0301te x\u0301 É é É"]
     for t, ids in zip(odd, cache.ids([o.encode() for o in odd])):
         assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
@@ -352,6 +352,23 @@ def test_jaccard(docs, empty, spark):
     assert jaccard.ngram_classes(empty).count() == 0
 
 
+def test_families_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 9)
+    rng = random.Random(16)
+    words, rows = [f"v{k}" for k in range(90)], []
+    for g in range(2):
+        base = rng.choices(words, k=60)
+        for k in range(70):
+            own = list(base)
+            for _ in range(rng.choice((1, 1, 2, 3, 4))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((100 * g + k, " ".join(own)))
+    got = by_id(jaccard.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    want = classes(rows)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert 2 < len({c for _, c in want.values()}) < len(rows)
+
+
 def test_pipeline_stages(docs, empty, spark, tmp_path):
     import corpus_pipeline
 
