@@ -18,9 +18,12 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +37,55 @@ TIERS = (512, 1024, 2048, 4096)
 SHARD_TOKENS = 1 << 21
 STEP_TOKENS = 8 * 4096
 END_ID = 2
-#: Entries of a worker's cache of words' ids (about 200 bytes each).
-CACHE = 700_000
+#: Bytes of text that are tokenized side by side.
+TOGETHER = 4 << 20
+#: Words and pieces of a worker's cache (about 150 bytes each); a fuller one is emptied.
+CACHE = 1_300_000
+#: Stands for the end of a document among its words; no word holds a space.
+END = b" "
+#: A word with other characters than these, or with upper case, is left to the tokenizer whole.
+PLAIN_LETTERS = "a-z\u00df-\u00f6\u00f8-\u024f\u0430-\u045f"
+PUNCTUATION = r"!-&(-/:-@\[-`{-~"
+UNPLAIN = re.compile(f"[^{PLAIN_LETTERS}0-9{PUNCTUATION}]|<\\|")
+#: What the tokenizer parts a plain word into, and the line ends between words.
+PIECE = re.compile(f"[{PLAIN_LETTERS}]+|[0-9]|[{PUNCTUATION}]+|\n")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_id long"
 
 
+class Ragged:
+    """Runs of ids, numbered in the order in which they were added."""
+
+    def __init__(self):
+        self.ids, self.ends = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64)
+        self.n = 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        ends = np.cumsum(lengths) + self.ends[self.n]
+        self.ids = _placed(self.ids, int(self.ends[self.n]), ids)
+        self.ends = _placed(self.ends, self.n + 1, ends)
+        self.n += len(lengths)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these runs end to end, and each one's length."""
+        first = self.ends[numbers]
+        lengths = self.ends[numbers + 1] - first
+        at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        return self.ids[at], lengths
+
+
+def _placed(into: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    if at + len(more) > len(into):
+        into = np.concatenate([into, np.zeros(max(len(into), len(more)), into.dtype)])
+    into[at : at + len(more)] = more
+    return into
+
+
 class WordIds(dict):
-    """The ids, as bytes of unsigned 32-bit numbers, of the runs between ASCII white space.
+    """The number of each run between ASCII white space, whose ids are kept under it.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its runs in order.
+    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its runs in order, and a
+    plain run's ids are those of its pieces. Pieces are encoded many at once: the last id of each, and no other, ends a word.
     """
 
     def __init__(self, path: str):
@@ -51,24 +93,68 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.words, self.pieces, self.piece = Ragged(), Ragged(), {}
+        self.new: list[bytes] = []
+        self[END] = 0
+        self.words.add(np.array([END_ID]), np.array([1]))
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 500):
+            own = pieces[i : i + 500]
+            ids = np.array(self._encode([" ".join(own)])[0], np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(own):
+                each = self._encode(own)
+                ids, ends = np.array([x for e in each for x in e], np.int64), np.cumsum([len(e) for e in each])
+            for piece in own:
+                self.piece[piece] = len(self.piece)
+            self.pieces.add(ids, np.diff(np.r_[0, ends]))
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [not UNPLAIN.search(t) and (t.isascii() or (t == t.lower() and unicodedata.is_normalized("NFC", t))) for t in texts]
+        parts = PIECE.findall("\n".join(t for t, p in zip(texts, plain) if p))
+        self._learn_pieces([x for x in dict.fromkeys(parts) if x != "\n" and x not in self.piece])
+        cut = np.array([x == "\n" for x in parts], bool)
+        ids, lengths = self.pieces.take(np.array([self.piece[x] for x in parts if x != "\n"], np.int64))
+        own = np.bincount(np.cumsum(cut)[~cut], lengths, minlength=sum(plain)).astype(np.int64)
+        rest = [e for i in range(0, len(words), 20_000) for e in self._encode([t for t, p in zip(texts[i : i + 20_000], plain[i : i + 20_000]) if not p])]
+        if rest:  # back into the words' order
+            every = Ragged()
+            every.add(np.r_[ids, np.array([x for e in rest for x in e], np.int64)], np.r_[own[: sum(plain)], [len(e) for e in rest]].astype(np.int64))
+            order = np.argsort(np.r_[np.flatnonzero(plain), np.flatnonzero(~np.array(plain))])
+            ids, own = every.take(order)
+        self.words.add(ids, own[: len(words)])
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if len(self) + len(self.piece) > CACHE:
+            self._forget()
         runs = [(t if b"<|" in t else t.lower()).split() for t in texts]  # lower case is the tokenizer's own first step, but for special strings
-        new = list({w for r in runs for w in r if w not in self})
-        more: dict[bytes, bytes] = {}
-        for i in range(0, len(new), 20_000):
-            more.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000])))
-        if len(self) + len(more) <= CACHE:
-            self.update(more)
-            more = {}
-        end = np.array([END_ID], "<u4").tobytes()
         for r in runs:
-            own = map(self.__getitem__, r) if not more else (self[w] if w in self else more[w] for w in r)
-            yield np.frombuffer(b"".join(own) + end, "<u4")
+            r.append(END)
+        sizes = np.array([len(r) for r in runs])
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(runs)), np.int64, int(sizes.sum()))
+        if self.new:
+            self._learn(self.new)
+            self.new = []
+        ids, lengths = self.words.take(numbers)
+        ends = np.cumsum(lengths)[np.cumsum(sizes) - 1] if len(sizes) else sizes
+        yield from (ids[i:j] for i, j in zip(np.r_[0, ends[:-1]], ends))
 
 
 _CACHES: dict[str, WordIds] = {}
@@ -177,6 +263,18 @@ def _packed(docs: list[tuple[int, np.ndarray]], first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names)
 
 
+def _tokenized(ids: WordIds, names: list, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Documents with their ids, tokenized side by side as long as they hold TOGETHER bytes at most."""
+    first = 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= TOGETHER:
+            size += len(texts[last])
+            last += 1
+        yield from zip(names[first:last], ids.ids(texts[first:last]))
+        first = last
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row for each piece: SCHEMA."""
 
@@ -184,14 +282,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, shard_tokens: int = SHARD_T
         ids, task = word_ids(vocabulary), TaskContext.get().partitionId()
         held, tokens, shard = [], 0, 0
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                for doc_id, own in zip(names[i : i + 500], ids.ids(texts[i : i + 500])):
-                    held.append((doc_id, own))
-                    tokens += len(own)
-                    if tokens >= shard_tokens:
-                        yield _packed(held, task << 44 | shard << 28)
-                        held, tokens, shard = [], 0, shard + 1
+            for doc_id, own in _tokenized(ids, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc_id, own))
+                tokens += len(own)
+                if tokens >= shard_tokens:
+                    yield _packed(held, task << 44 | shard << 28)
+                    held, tokens, shard = [], 0, shard + 1
         if held:
             yield _packed(held, task << 44 | shard << 28)
 
