@@ -384,7 +384,7 @@ def start_graph(points: DataFrame, own: Space) -> Stored:
     block = F.shiftleft("home", shift).bitwiseOR(F.pmod(F.xxhash64("node", F.lit(SEED)), "parts")).alias("block")
     home = Stored(parted.select(block, "node", "asked", "vec", "cell").groupBy("block").applyInArrow(_one(own.built), BLOCK), "blocks")
     dealt = home.df.select("block", "cell", "vec").mapInArrow(own.dealt, "t long, code long, gid long, vec binary")
-    other = _split(dealt, ["t", "code"], CELL, codes + own.n // SPREAD).withColumn("part", F.pmod(F.xxhash64("gid", F.lit(SEED)), "parts"))
+    other = _split(dealt, ["t", "code"], max(CELL, 2 * SPREAD), codes + own.n // SPREAD).withColumn("part", F.pmod(F.xxhash64("gid", F.lit(SEED)), "parts"))
     edges = other.groupBy("t", "code", "part").applyInArrow(_one(own.near_there), EDGES)
     blocks = Stored(home.df.groupBy("block").cogroup(edges.groupBy("to")).applyInArrow(_two(own.merged), BLOCK), "blocks")
     home.drop()

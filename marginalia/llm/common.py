@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -14,23 +16,6 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than space and \t\n\v\f\r; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Entries that a worker's word cache may hold (about 150 bytes each).
-CACHE_WORDS = 600_000
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to CACHE_WORDS words; beyond that, words are hashed anew each time."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit finaliser: spreads every input bit over the result."""
     x = x ^ (x >> np.uint64(33))
@@ -40,6 +25,76 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes that one running sum goes over; longer words are hashed alone.
+SPAN = 1 << 16
+#: Bytes of texts that are hashed side by side.
+TOGETHER = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, and a number for each byte."""
+    powers = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        row = [1]
+        for _ in range(SPAN - 1):
+            row.append(row[-1] * base % (1 << 64))
+        powers.append(np.array(row, np.uint64))
+    with np.errstate(over="ignore"):
+        return *powers, mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes end to end, where each word starts and ends, and how many words are before each text but the first."""
+    a = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.flatnonzero(np.diff(SPACE[a], prepend=True))
+    starts, ends = edge[::2], edge[1::2]
+    return a, starts, ends, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])[:-1])
+
+
+def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: sums of bytes' numbers times powers, shifted to the word's start, with its length, mixed."""
+    up, down, letter = _tables()
+    out, i = np.empty(len(starts), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            first = int(starts[i])
+            j = int(np.searchsorted(ends, first + SPAN, "right"))
+            if j == i:
+                out[i] = xxhash.xxh3_64_intdigest(a[first : int(ends[i])].tobytes())
+                i += 1
+                continue
+            s, e = starts[i:j] - first, ends[i:j] - first
+            total = np.cumsum(letter[a[first : first + int(e[-1])]] * up[: int(e[-1])])
+            own = total[e - 1] - np.where(s > 0, total[s - 1], np.uint64(0))
+            out[i:j] = mixed(own * down[s] + (e - s).astype(np.uint64))
+            i = j
+    return out
+
+
+def side_by_side(texts: list[bytes], size: int = TOGETHER) -> Iterator[list[bytes]]:
+    """The texts in runs of about so many bytes."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield texts[first : i + 1]
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words, in order."""
+    out = []
+    for own in side_by_side(texts):
+        a, starts, ends, cut = word_spans(own)
+        out += np.split(span_hashes(a, starts, ends), cut)
+    return out
+
+
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """64-bit hashes of all runs of k word hashes, by doubling: each run is hashed from two halves and a rest."""
     n = len(words) - k + 1

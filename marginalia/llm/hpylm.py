@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WordHashes, partitions, released, saved, table, utf8
+from marginalia.llm.common import Stored, partitions, released, saved, table, utf8, word_hashes
 
-#: Stands for the end of a text, and for what is before its first word; no word holds a space.
-END = b" "
+#: The hash that stands for the end of a text, and for what is before its first word.
+END = np.uint64(0x3C6EF372FE94F82B)
 ALPHA = 0.1
 #: Contexts in the dense table by which a test holds State's formulas; the model's contexts are all words.
 CLASSES = 8
@@ -44,17 +44,9 @@ BLOCK_BYTES = 16 << 20
 SEED = 5
 
 
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
-
-
-_hashes = WordHashes()
-
-
-def hashed(text: bytes) -> np.ndarray:
-    return _hashes.of(tokens(text))
+def hashed(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's tokens as hashes."""
+    return [np.append(words, END) for words in word_hashes([t.lower() for t in texts])]
 
 
 def z(x: np.ndarray) -> bytes:
@@ -115,8 +107,8 @@ def _count(batches, buckets: int):
 
     texts, held = [], 0
     for b in batches:
-        for text in b.column(0).to_pylist():
-            texts.append(hashed(text))
+        for own in hashed(b.column(0).to_pylist()):
+            texts.append(own)
             held += len(texts[-1])
             if held > COUNTED:
                 yield out(texts)
@@ -288,7 +280,7 @@ def _compressed(batches):
 
 def _texts(group: pa.Table) -> list[np.ndarray]:
     unpack = zstandard.ZstdDecompressor()
-    return [hashed(unpack.decompress(x)) for x in group["z"].to_pylist()]
+    return hashed([unpack.decompress(x) for x in group["z"].to_pylist()])
 
 
 def _ask(group: pa.Table, buckets: int) -> pa.Table:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WordHashes, mixed, partitions, saved, table, utf8, window_hashes
+from marginalia.llm.common import mixed, partitions, saved, table, utf8, window_hashes, word_hashes
 from marginalia.llm.components import components
 
 N = 5
@@ -52,13 +52,13 @@ COMMON, COLUMNS = 16, 4_096
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
-_hashes = WordHashes()
+def shingles(texts: list[bytes], n: int = N) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's n-grams."""
 
+    def of(words: np.ndarray) -> np.ndarray:
+        return np.unique(window_hashes(words, n)) if len(words) >= n else window_hashes(words, len(words), seed=len(words)) if len(words) else words
 
-def shingles(text: bytes, n: int = N) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams."""
-    words = _hashes.of(text.lower().split())
-    return np.unique(window_hashes(words, n)) if len(words) >= n else window_hashes(words, len(words), seed=len(words)) if len(words) else words
+    return [of(words) for words in word_hashes([t.lower() for t in texts])]
 
 
 def node(grams: np.ndarray) -> int:
@@ -153,8 +153,7 @@ def _index(buckets: int):
         seen: set[int] = set()  # copies within a task are indexed once
         for b in batches:
             sig, who, slack, rows = [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = shingles(text)
+            for doc_id, g in zip(b.column(0).to_pylist(), shingles(b.column(1).to_pylist())):
                 name = node(g)
                 rows.append((NO_ID if doc_id is None else doc_id, len(g), name))
                 if not len(g) or name in seen:
@@ -239,7 +238,8 @@ def _named(batches):
     """Texts (doc_id, z, node) whose set is that node; another text under the same doc_id is dropped."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        keep = [i for i, (z, name) in enumerate(zip(b.column("z").to_pylist(), b.column("node").to_pylist())) if node(shingles(unpack.decompress(z))) == name]
+        own = map(node, shingles([unpack.decompress(z) for z in b.column("z").to_pylist()]))
+        keep = [i for i, (got, name) in enumerate(zip(own, b.column("node").to_pylist())) if got == name]
         yield b.take(pa.array(keep, pa.int64())).select(["node", "z"])
 
 
@@ -251,7 +251,7 @@ def _linked(batches):
         if (got := held.get(name)) is None:
             if len(held) > 200:
                 held.clear()
-            got = held[name] = shingles(unpack.decompress(z))
+            got = held[name] = shingles([unpack.decompress(z)])[0]
         return got
 
     for b in batches:
@@ -268,7 +268,7 @@ def _elements(batches, buckets: int):
     """Elements of sets (node, z) for the buckets that count how many sets have each; 32 bits beside the bucket, so equal ones stay equal."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        own = [shingles(unpack.decompress(x)) for x in b.column(1).to_pylist()]
+        own = shingles([unpack.decompress(x) for x in b.column(1).to_pylist()])
         if not own:
             continue
         grams = np.concatenate(own)
@@ -326,7 +326,7 @@ def _families(group: pa.Table) -> pa.Table:
     unpack, i, j = zstandard.ZstdDecompressor(), group["i"][0].as_py(), group["j"][0].as_py()
     order = np.argsort(group["block"].to_numpy(), kind="stable")
     names, cells = group["node"].to_numpy()[order], group["z"].to_pylist()
-    sets = [shingles(unpack.decompress(cells[k])) for k in order]
+    sets = shingles([unpack.decompress(cells[k]) for k in order])
     cut = len(sets) if i == j else int((group["block"].to_numpy() == i).sum())
     left, right, offset = (sets, sets, 0) if i == j else (sets[:cut], sets[cut:], cut)
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})

@@ -16,11 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WordHashes, mixed, table, utf8
+from marginalia.llm.common import mixed, side_by_side, span_hashes, table, utf8, word_spans
 
 BITS = 18
 FIT_ROWS = 6_000
@@ -31,26 +30,20 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 0.1
 SAME = np.uint64(0x5851F42D4C957F2D)
 
 
-class Ends(WordHashes):
-    """word -> hash of its last two bytes."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word[-2:], 1)
-        if len(self) < 300_000:
-            self[word] = h
-        return h
-
-
-_hashes, _ends = WordHashes(), Ends()
-
-
-def features(text: bytes) -> np.ndarray:
-    """Coordinates of all words, words' ends and pairs."""
-    runs = text.lower().split()
-    words = _hashes.of(runs)
-    with np.errstate(over="ignore"):
-        pairs = np.where(words[1:] == words[:-1], SAME, mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]))
-    return (np.concatenate([words, _ends.of(runs), pairs]) >> np.uint64(64 - BITS)).astype(np.int64)
+def features(texts: list[bytes]) -> list[np.ndarray]:
+    """Coordinates of each text's words, words' ends and pairs."""
+    out = []
+    for own in side_by_side([t.lower() for t in texts]):
+        a, starts, ends, cut = word_spans(own)
+        words = span_hashes(a, starts, ends)
+        with np.errstate(over="ignore"):
+            last = a[ends - 1].astype(np.uint64) | np.where(ends - starts > 1, a[np.maximum(ends - 2, 0)], 0).astype(np.uint64) << np.uint64(8)
+            tails = mixed((last + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            pairs = np.where(words[1:] == words[:-1], SAME, mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]))
+        words, tails, pairs = ((x >> np.uint64(64 - BITS)).astype(np.int64) for x in (words, tails, pairs))
+        for i, j in zip(np.r_[0, cut], np.r_[cut, len(words)]):
+            out.append(np.concatenate([words[i:j], tails[i:j], pairs[i : max(i, j - 1)]]))
+    return out
 
 
 def logistic(x):
@@ -61,8 +54,8 @@ def train(texts: list[bytes], labels: list[int]) -> np.ndarray:
     """Weights after EPOCHS passes of FTRL-proximal updates; the last is the bias."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     rows = []
-    for text in texts:
-        at, count = np.unique(features(text), return_counts=True)
+    for found in features(texts):
+        at, count = np.unique(found, return_counts=True)
         total = max(1, count.sum())
         rows.append((np.r_[at, 1 << BITS], np.r_[count / np.sqrt(total), 1.0]))
 
@@ -105,8 +98,7 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
         w = sent.value
         for b in batches:
             out = []
-            for text in b.column(len(names)).to_pylist():
-                at = features(text)
+            for at in features(b.column(len(names)).to_pylist()):
                 out.append(float(logistic(w[-1] + w[at].sum(dtype=np.float64) / np.sqrt(max(1, len(at))))))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.float64())], [*names, name])
 

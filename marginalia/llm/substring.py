@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WordHashes, mixed, partitions, saved, table, utf8, window_hashes
+from marginalia.llm.common import mixed, partitions, saved, table, utf8, window_hashes, word_hashes
 
 WINDOW = 20
 FIRST = 10
@@ -34,8 +34,6 @@ LEAST_ID = -(1 << 63)
 #: Seed of the hash that deals windows to buckets at the last level.
 DEAL = 0x6A09E667
 
-_hashes = WordHashes()
-
 
 def sliding(x: np.ndarray, k: int, pick=np.minimum) -> np.ndarray:
     """The least (or greatest) of each k neighbours, by doubling."""
@@ -97,8 +95,7 @@ def _first_level(batches, buckets: int, ask: bool, window: int, first: int):
     """ask: blobs of each hash's first place; else: the places of hashes that are repeated within the batch."""
     for b in batches:
         ids, keys, sig, at = b.column(0).to_pylist(), b.column(1).to_pylist(), [], []
-        for text in b.column(2).to_pylist():
-            words = _hashes.of(text.split())
+        for words in word_hashes(b.column(2).to_pylist()):
             if len(words) < window:
                 sig.append(np.empty(0, np.uint64)), at.append(np.empty(0, np.int64))
                 continue
@@ -150,10 +147,9 @@ def _last_level(docs: pa.Table, places: pa.Table, buckets: int, ask: bool, windo
     """Candidates' full windows. ask: blobs of the first place of each in the part; else: its later places."""
     unpack, starts = zstandard.ZstdDecompressor(), _by_document(places)
     ids, keys, sig, deal, at = [], [], [], [], []
-    for doc_id, key, z in zip(*(docs[k].to_pylist() for k in ("doc_id", "key", "z"))):
-        if (own := starts.get((doc_id, key))) is None:
-            continue
-        words = _hashes.of(unpack.decompress(z).split())
+    marked_docs = [x for x in zip(*(docs[k].to_pylist() for k in ("doc_id", "key", "z"))) if (x[0], x[1]) in starts]
+    for (doc_id, key, _), words in zip(marked_docs, word_hashes([unpack.decompress(x[2]) for x in marked_docs])):
+        own = starts[doc_id, key]
         short, least, _ = anchors(words, window, first)
         marked = np.full(len(short), np.iinfo(np.uint64).max, np.uint64)
         marked[own] = short[own]

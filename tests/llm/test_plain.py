@@ -396,7 +396,7 @@ def test_classifier_learns_and_is_deterministic():
     assert (w == quality.train(good[:60] + bad[:60], [1] * 60 + [0] * 60)).all()
 
     def p(t):
-        at = quality.features(t)
+        (at,) = quality.features([t])
         return quality.logistic(w[-1] + w[at].sum() / np.sqrt(max(1, len(at))))
 
     assert all(p(t) > 0.5 for t in good[60:]) and all(p(t) < 0.5 for t in bad[60:])
