@@ -20,7 +20,7 @@ ignored.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Stored, partitions, released, saved, table, utf8, word_hashes
+from marginalia.llm.common import Stored, partitions, released, table, utf8, word_hashes
 
 #: The hash that stands for the end of a text, and for what is before its first word.
 END = np.uint64(0x3C6EF372FE94F82B)
@@ -36,9 +36,12 @@ ALPHA = 0.1
 #: Contexts in the dense table by which a test holds State's formulas; the model's contexts are all words.
 CLASSES = 8
 BURN, SAMPLES = 1, 2
-STRENGTH = 20.0
+#: Strengths of the contexts' restaurants and of their parent. Most contexts are met a few times only, so theirs is small.
+STRENGTH, STRENGTH0 = 0.1, 20.0
 #: Tokens that a task counts before it sends them.
 COUNTED = 1 << 20
+#: Blocks of documents are scored in so many turns, so that requests and answers of a part only are on disk at once.
+WAVES = 2
 #: Bytes of text of a block, about.
 BLOCK_BYTES = 16 << 20
 SEED = 5
@@ -167,8 +170,8 @@ class State:
 
     def parent_p(self, customers: np.ndarray, t0: np.ndarray) -> np.ndarray:
         """The parent's probability of dishes with these customers (tables of the contexts' restaurants) and tables."""
-        fresh = (STRENGTH + self.discount0 * self.t0) / (self.v + 1)
-        return (np.maximum(customers - self.discount0 * t0, 0) + fresh) / (STRENGTH + self.t.sum())
+        fresh = (STRENGTH0 + self.discount0 * self.t0) / (self.v + 1)
+        return (np.maximum(customers - self.discount0 * t0, 0) + fresh) / (STRENGTH0 + self.t.sum())
 
     def passed_up(self) -> np.ndarray:
         """The share of each context that goes to the parent."""
@@ -257,7 +260,7 @@ def _step(known: pa.Table, added: pa.Table, state: State, sweep: int | None, sam
         flat = c.astype(np.float64)
         t = seated(flat, expected(flat, weight) if sweep == 0 else t, weight, state.discount, rng)
         customers = np.add.reduceat(t, starts)
-        fresh = np.full(len(words), (STRENGTH + state.discount0 * state.t0) / (state.v + 1))
+        fresh = np.full(len(words), (STRENGTH0 + state.discount0 * state.t0) / (state.v + 1))
         new |= {"t": t, "t0": seated(customers, expected(customers, fresh) if sweep == 0 else np.minimum(t0, customers), fresh, state.discount0, rng)}
     return pa.table({x: _binary([z(new[x].astype(KINDS[x]))]) if x in new else known[x] for x in known.column_names})
 
@@ -356,13 +359,13 @@ def _vocabulary(training: DataFrame, buckets: int) -> DataFrame:
         return _merged(group, buckets)
 
     counted = training.mapInArrow(partial(_count, buckets=buckets), "bucket long, words binary, k binary, u binary, c binary")
-    return saved(counted.groupBy("bucket").applyInArrow(merge, VOCABULARY))
+    return counted.groupBy("bucket").applyInArrow(merge, VOCABULARY)
 
 
 def _next(vocabulary: DataFrame, buckets: int, state: State, sweep: int | None, sample: int | None) -> DataFrame:
     told = vocabulary.mapInArrow(partial(_told, buckets=buckets), "to long, bucket long, own boolean, ctx binary, n binary")
     added = told.groupBy("to").applyInArrow(_added, "bucket long, to long, own boolean, n binary")
-    return saved(vocabulary.groupBy("bucket").cogroup(added.groupBy("bucket")).applyInArrow(_stepped(state, sweep, sample), VOCABULARY))
+    return vocabulary.groupBy("bucket").cogroup(added.groupBy("bucket")).applyInArrow(_stepped(state, sweep, sample), VOCABULARY)
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -371,16 +374,18 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     buckets = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     training = docs.where(~F.col("held")).select("text")
-    vocabulary, states = _vocabulary(training, buckets), []
-    state = State(vocabulary)
+    vocabulary, states = Stored(_vocabulary(training, buckets), "vocabulary"), []
+    state = State(vocabulary.df)
     n, v = int(state.c.sum()), state.v
     released(spark)
     for done in range(BURN + SAMPLES + 1):  # so many sweeps are done; after burn-in each one's seating is kept before the next
         sweep, sample = done if done < BURN + SAMPLES else None, done - BURN - 1 if done > BURN else None
-        vocabulary = _next(vocabulary, buckets, state, sweep, sample)
+        new = Stored(_next(vocabulary.df, buckets, state, sweep, sample), "vocabulary")
+        vocabulary.drop()
+        vocabulary = new
         if sample is not None:
             states.append(state)
-        state = State(vocabulary) if sweep is not None else state
+        state = State(vocabulary.df) if sweep is not None else state
         released(spark)
 
     def ask(group: pa.Table) -> pa.Table:
@@ -391,12 +396,17 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(2 * buckets, total // BLOCK_BYTES)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(blocks)).alias("block"), "doc_id", "text").mapInArrow(_compressed, "block long, doc_id long, z binary")
-    asked = dealt.groupBy("block").applyInArrow(ask, "bucket long, block long, words binary, k binary, u binary")
-    known = vocabulary.select("bucket", "words", "k", "ctx", "at", "c", "own", "parent", "up")
-    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answer, "block long, bucket long, c binary, parent binary, up binary, own binary")
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
-    return out.withColumn("train_tokens", F.lit(n).cast("long"))
+    block = F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(blocks)).alias("block")
+    known = vocabulary.df.select("bucket", "words", "k", "ctx", "at", "c", "own", "parent", "up")
+    out = []
+    for wave in range(WAVES):
+        dealt = docs.select(block, "doc_id", "text").where(F.col("block") % WAVES == wave).mapInArrow(_compressed, "block long, doc_id long, z binary")
+        asked = dealt.groupBy("block").applyInArrow(ask, "bucket long, block long, words binary, k binary, u binary")
+        answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answer, "block long, bucket long, c binary, parent binary, up binary, own binary")
+        out.append(Stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES), "scores").df)
+        released(spark)
+    vocabulary.drop()
+    return reduce(DataFrame.union, out).withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
