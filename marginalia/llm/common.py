@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -86,13 +87,11 @@ def side_by_side(texts: list[bytes], size: int = TOGETHER) -> Iterator[list[byte
         yield texts[first:]
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
     """The hashes of each text's words, in order."""
-    out = []
     for own in side_by_side(texts):
         a, starts, ends, cut = word_spans(own)
-        out += np.split(span_hashes(a, starts, ends), cut)
-    return out
+        yield from np.split(span_hashes(a, starts, ends), cut)
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -113,15 +112,31 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         return out
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that columns of df have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def utf8(text: str | Column) -> Column:
     """The text's bytes; null texts count as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Batches sent to Python hold at most 2,000 rows and 32 MB, so that long texts don't fill a worker's memory."""
+    """Batches sent to Python hold at most 2,000 rows and 16 MB, so that long texts don't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
@@ -129,12 +144,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="marginalia-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is named (as in tests), one of our own."""
+    """The shared folder that the cluster names; where none is named, one of our own in local mode, and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
-        found = "/tmp/marginalia-checkpoints"
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found

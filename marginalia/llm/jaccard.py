@@ -52,13 +52,13 @@ COMMON, COLUMNS = 16, 4_096
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
-def shingles(texts: list[bytes], n: int = N) -> list[np.ndarray]:
+def shingles(texts: list[bytes], n: int = N) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's n-grams."""
 
     def of(words: np.ndarray) -> np.ndarray:
         return np.unique(window_hashes(words, n)) if len(words) >= n else window_hashes(words, len(words), seed=len(words)) if len(words) else words
 
-    return [of(words) for words in word_hashes([t.lower() for t in texts])]
+    return map(of, word_hashes([t.lower() for t in texts]))
 
 
 def node(grams: np.ndarray) -> int:
@@ -251,7 +251,7 @@ def _linked(batches):
         if (got := held.get(name)) is None:
             if len(held) > 200:
                 held.clear()
-            got = held[name] = shingles([unpack.decompress(z)])[0]
+            got = held[name] = next(shingles([unpack.decompress(z)]))
         return got
 
     for b in batches:
@@ -268,7 +268,7 @@ def _elements(batches, buckets: int):
     """Elements of sets (node, z) for the buckets that count how many sets have each; 32 bits beside the bucket, so equal ones stay equal."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        own = shingles([unpack.decompress(x) for x in b.column(1).to_pylist()])
+        own = list(shingles([unpack.decompress(x) for x in b.column(1).to_pylist()]))
         if not own:
             continue
         grams = np.concatenate(own)
@@ -326,7 +326,7 @@ def _families(group: pa.Table) -> pa.Table:
     unpack, i, j = zstandard.ZstdDecompressor(), group["i"][0].as_py(), group["j"][0].as_py()
     order = np.argsort(group["block"].to_numpy(), kind="stable")
     names, cells = group["node"].to_numpy()[order], group["z"].to_pylist()
-    sets = shingles([unpack.decompress(cells[k]) for k in order])
+    sets = list(shingles([unpack.decompress(cells[k]) for k in order]))
     cut = len(sets) if i == j else int((group["block"].to_numpy() == i).sum())
     left, right, offset = (sets, sets, 0) if i == j else (sets[:cut], sets[cut:], cut)
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import WORD, saved, table
+from marginalia.llm.common import WORD, every, free, saved, table
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -138,11 +138,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: floa
     return lines.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs, each whole and as often as the mix takes the block that its first word is in; the columns stay."""
-    copies = mix_sources(docs, **how).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
+    """docs, each whole and in as many copies as the mix takes of it; the columns stay.
+
+    Words taken over size is rounded up or down by a seeded draw, so that the words of all copies come near those taken
+    also where documents are long. Rows of equal doc_id, source and size have equally many copies.
+    """
+    d, s, n, k, copy = free(docs, "mixed_id", "mixed_source", "mixed_size", "copies", "copy")
+    taken = mix_sources(docs.select("doc_id", "source", "text"), seed=seed, **how).where("size > 0").groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n)).agg(F.avg("taken").alias(k))
+    draw = F.pmod(F.xxhash64(F.lit(seed + 3), d, n), F.lit(1 << 20)) / (1 << 20)
+    copies = taken.withColumn(k, F.floor(F.col(k) / F.col(n) + draw).cast("int")).where(F.col(k) > 0)
+    sized = docs.withColumn(copy, words_in("text"))
+    out = sized.join(copies, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(copy) == F.col(n)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*every(docs))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Operator 5: personal data, by patterns and by bootstrapped contextual extraction, in Spark expressions alone.
 
 Base entities (emails, IP addresses, card and phone numbers) are found by regular expressions with checks. They are the
-seeds: the two words before a seed (one, if the text has no more) are a lexical pattern, in which a word that holds a digit or @ stands as #.
-Words that hold a digit or @ are the instances; patterns and instances form a graph, and in each of ROUNDS rounds a
-pattern's confidence is the mean score of its distinct labelled instances: seeds have 1, words of an entity's full shape that
+seeds: the two words before a seed (one, if the text has no more) are a lexical pattern, in which an instance stands as #.
+Instances are whole entities: a number as international phones are written, 12 to 19 digits in groups, or else a
+word that holds a digit or @, without the punctuation around it. Patterns and instances form a graph, and in each of ROUNDS rounds a
+pattern's confidence is the mean score of its distinct labelled instances: seeds have 1, instances of an entity's full shape that
 its check refuses have 0, others are left out until a pattern has reached them (patterns of less than SUPPORT summed
-score, or confidence below SURE, count for nothing). An instance's score is the noisy-or of its patterns' confidences. Instances that reach SURE are spans of kind `context` wherever they follow one
-of these patterns.
+score, or confidence below SURE, count for nothing). An instance's score is the noisy-or of its patterns' confidences. Instances that reach
+SURE are spans of kind `context` wherever they follow one of these patterns and touch no base entity.
 
 Offsets come from the texts between matches (split and extract_all cut alike). The expressions are possessive and look
 behind, so that their time is linear in a text's length however its characters run on; they match what the plain
@@ -18,10 +19,14 @@ count once (values are distinct); an empty table: no rows; other columns are ign
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from marginalia.llm.common import saved, table
+from marginalia.llm.common import every, free, saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The entities as stated; EXACT matches the same spans in linear time.
@@ -40,41 +45,70 @@ EXACT = {
 #: What a text must hold for a kind to be looked for.
 SIGN = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -][0-9]", "phone": r"\+[0-9]"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: A word with a digit or @.
-INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: A word of the full shape of an address or card, or an international number.
-SHAPED = r"^[0-9]+(?:\.[0-9]+){3}$|^(?:[0-9]-?){15,18}[0-9]$|^\+[0-9][().0-9-]+[0-9]$"
+#: A number as international phones are written; 12 to 19 digits in groups; a word with a digit or @.
+INSTANCE = (
+    r"(?<![^\x20\x09-\x0D])(?:"
+    r"\+[0-9][\x20().0-9-]+[0-9](?![^\x20\x09-\x0D.,;:!?)])|"
+    r"[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9]|[\x20-][0-9])(?![^\x20\x09-\x0D.,;:!?)])|"
+    r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
+#: Punctuation before and after what is written in a word.
+OPENING, CLOSING = r"^[(\[{<\"']+", r"[.,;:!?)\]}>\"']+$"
+#: The full shape of an address or card, or of an international number.
+SHAPED = r"^[0-9]+(?:\.[0-9]+){3}$|^(?:[0-9][\x20-]?){15,18}[0-9]$|^\+[0-9][\x20().0-9-]+[0-9]$"
 ROUNDS = 3
 SUPPORT = 3.0
 SURE = 0.8
 #: A found instance's word has at least so many digits, or an @.
 LEAST_DIGITS = 4
+#: Code points of a part of a text that is being redacted.
+PAGE = 4_096
+
+
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x computed once."""
+    return F.transform(F.array(x), then)[0]
+
+
+def running(x: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Of an array of whole numbers what add makes of each and all before it: within parts of about as many as there are parts, then across."""
+
+    def scan(a: Column) -> Column:
+        none = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("all"))
+        step = lambda acc, v: let(add(acc["now"], v), lambda n: F.struct(n.alias("now"), F.concat(acc["all"], F.array(n)).alias("all")))
+        return F.aggregate(a, none, step, lambda acc: acc["all"])
+
+    def parted(a: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+        parts = let(size, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / n).cast("int") - 1, F.lit(0))), lambda i: scan(F.slice(a, i * n + 1, n))))
+        return let(parts, lambda p: let(scan(F.transform(p, lambda c: F.coalesce(F.get(c, F.size(c) - 1), F.lit(0)))), lambda ends: F.flatten(F.transform(p, lambda c, i: F.transform(c, lambda v: add(F.when(i > 0, F.get(ends, i - 1)).otherwise(0), v))))))
+
+    return let(x, parted)
 
 
 def placed(text: Column, pattern: str, context: bool = False) -> Column:
     """The pattern's matches: array<struct<start,end,value(,before)>> in code points; before: up to two words before a match that is a word."""
-    kind = "array<struct<start:int,end:int,value:string" + (",before:array<string>" if context else "") + ">>"
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def last(words: Column) -> Column:
         return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        parts = [start.alias("start"), end.alias("end"), x["value"].alias("value")]
-        parts += [last(F.concat(acc["tail"], x["words"])).alias("before")] if context else []
-        tail = [last(F.concat(acc["tail"], x["words"], F.array(F.lit("#")))).alias("tail")] if context else []
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(*parts))).alias("spans"), *tail)
+    def before(words: Column, i: Column) -> Column:
+        """The two words before match i, of which earlier matches are #; words: the last two of each gap."""
+        mark, none = F.array(F.lit("#")), F.array().cast("array<string>")
+        earlier = F.concat(F.when(i > 1, mark).otherwise(none), F.when(i > 0, F.concat(F.get(words, i - 1), mark)).otherwise(none))
+        return last(F.concat(earlier, F.get(words, i)))
+
+    def of(values: Column, gaps: Column) -> Column:
+        ends = running(F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.length(v) + F.length(g)), lambda x, y: x + y)
+        words = F.transform(gaps, lambda g: last(F.filter(F.split(g, r"[\x20\x09-\x0D]+"), lambda w: w != ""))) if context else F.lit(0)
 
-    def pair(v: Column, g: Column) -> Column:
-        words = [last(F.filter(F.split(g, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words")] if context else []
-        return F.struct(v.alias("value"), g.alias("gap"), *words)
+        def span(v: Column, i: Column, end: Column, words: Column) -> Column:
+            parts = [(F.get(end, i) - F.length(v)).alias("start"), F.get(end, i).alias("end"), v.alias("value")]
+            return F.struct(*parts, *([before(words, i).alias("before")] if context else []))
 
-    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), pair)
-    tail = [F.array().cast("array<string>").alias("tail")] if context else []
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"), *tail)
-    return F.aggregate(pairs, none, add, lambda acc: acc["spans"])
+        return let(ends, lambda e: let(words, lambda w: F.transform(values, lambda v, i: span(v, i, e, w))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: let(F.split(text, pattern, -1), lambda g: of(v, g)))
 
 
 def luhn(value: Column) -> Column:
@@ -108,27 +142,27 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def _instances(text: Column, base: Column) -> Column:
-    """Words with a digit or @: their place, pattern, and whether a base entity starts in them; words further inside one are left out."""
-    word = F.transform(
-        placed(text, INSTANCE, context=True),
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["value"].alias("value"),
-            F.lower(F.array_join(s["before"], " ")).alias("pattern"),
-            F.exists(base, lambda b: (b["start"] >= s["start"]) & (b["start"] < s["end"])).alias("seed"),
-            F.exists(base, lambda b: (b["start"] < s["start"]) & (b["end"] > s["start"])).alias("inside"),
-        ),
-    )
-    return F.filter(word, lambda s: ~s["inside"])
+def is_base(value: Column) -> Column:
+    """Whether a whole value is a base entity."""
+    return F.coalesce(reduce(Column.__or__, [value.rlike(f"^(?:{PLAIN[k]})$") & valid(k, value) for k in KINDS]), F.lit(False))
+
+
+def _instances(text: Column) -> Column:
+    """Instances: place, value, and the pattern before."""
+
+    def trimmed(s: Column) -> Column:
+        tail = F.regexp_replace(s["value"], OPENING, "")
+        start, value = s["end"] - F.length(tail), F.regexp_replace(tail, CLOSING, "")
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lower(F.array_join(s["before"], " ")).alias("pattern"))
+
+    return F.transform(placed(text, INSTANCE, context=True), trimmed)
 
 
 def confident(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges (pattern, value, seed) -> patterns (pattern, confidence) and instances (value, score) after the rounds."""
-    graph = saved(edges.where("pattern <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    seeds = graph.groupBy("value").agg(F.max("seed").alias("seed"))
-    seeds = seeds.select("value", F.when(F.col("seed"), F.lit(1.0)).when(F.col("value").rlike(SHAPED), F.lit(0.0)).alias("known"))
+    """edges (pattern, value) -> patterns (pattern, confidence) and instances (value, score, seed) after the rounds."""
+    graph = saved(edges.where("pattern <> ''").distinct())
+    seeds = graph.select("value").distinct()
+    seeds = saved(seeds.select("value", F.when(is_base(F.col("value")), F.lit(1.0)).when(F.col("value").rlike(SHAPED), F.lit(0.0)).alias("known")))
     scores = seeds.select("value", "known", F.col("known").alias("score"))
     patterns = None
     for _ in range(ROUNDS):
@@ -137,43 +171,76 @@ def confident(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         miss = F.exp(F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999)))))
         reached = graph.join(patterns, "pattern").groupBy("value").agg((F.lit(1.0) - miss).alias("reached"))
         scores = saved(seeds.join(reached, "value", "left").select("value", "known", F.coalesce("known", "reached").alias("score")))
-    return patterns, scores.select("value", "score")
+    return patterns, scores.select("value", "score", F.coalesce(F.col("known") == 1, F.lit(False)).alias("seed"))
+
+
+def _clear_of(found: DataFrame, base: DataFrame) -> DataFrame:
+    """The spans of found (doc_id, key, start, end) that touch none of base, by their order."""
+    kinds = ["doc_id", "key", "start", "end", "old"]
+    rows = found.withColumn("old", F.lit(False)).select(*kinds).distinct().union(base.withColumn("old", F.lit(True)).select(*kinds))
+    order = Window.partitionBy("doc_id", "key").orderBy("start", "end")
+    ended = F.max(F.when(F.col("old"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    begins = F.min(F.when(F.col("old"), F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumn("ended", ended).withColumn("begins", begins)
+    return rows.where(~F.col("old") & (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("begins") >= F.col("end"), F.lit(True))))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text), base and found: arrays of struct<kind,start,end>."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), base_spans(text).alias("base"), text.alias("text"))
-    marked = F.when(F.col("text").rlike("[0-9@]"), _instances(F.col("text"), F.col("base")))
-    rows = saved(rows.select("doc_id", "key", "base", marked.alias("words")))
-    words = rows.where(F.size("words") > 0).select("doc_id", "key", F.explode("words").alias("w")).select("doc_id", "key", "w.*")
-    patterns, scores = confident(words.select("pattern", "value", "seed"))
+    words = F.when(text.rlike("[0-9@]"), _instances(text))
+    rows = saved(docs.select("doc_id", F.xxhash64("text").alias("key"), base_spans(text).alias("base"), words.alias("words")))
+    words = rows.where(F.size("words") > 0).select("doc_id", "key", F.explode("words").alias("w")).select("doc_id", "key", "w.*").where("value <> ''")
+    patterns, scores = confident(words.select("pattern", "value"))
     enough = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= LEAST_DIGITS) | F.col("value").contains("@")
-    new = words.where(~F.col("seed") & enough)
-    new = new.join(patterns.select("pattern"), "pattern").join(scores.where(F.col("score") >= SURE).select("value"), "value")
+    sure = scores.where((F.col("score") >= SURE) & ~F.col("seed")).select("value").where(enough)
+    new = words.join(patterns.select("pattern"), "pattern").join(sure, "value").select("doc_id", "key", "start", "end")
+    new = saved(new.withColumn("doc_id", F.col("doc_id").cast("string")))
+    where = new.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()
+    mine = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "key", "base").dropDuplicates(["doc_id", "key"])
+    mine = mine.join(where, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
+    base = mine.select("doc_id", "key", F.explode("base").alias("s")).select("doc_id", "key", "s.start", "s.end")
     span = F.struct(F.lit("context").alias("kind"), F.col("start"), F.col("end"))
-    found = new.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_set(span)).alias("found"))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["key"] == found["k"]), "left")
+    found = _clear_of(new, base).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_set(span)).alias("found"))
+    out = rows.join(found, rows["doc_id"].cast("string").eqNullSafe(found["d"]) & (rows["key"] == found["k"]), "left")
     return out.select("doc_id", "key", "base", F.coalesce("found", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("found"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of the text replaced by its kind in angle brackets; n_chars, if there, is counted anew."""
+    """docs with each span of the text replaced by its kind in angle brackets; n_chars, if there, is counted anew.
+
+    Of spans that touch, the first names what replaces them all.
+    """
+    of, text_key, key, every_span = free(docs, "span_of", "span_text", "text_key", "spans")
     spans = find_pii(docs.select("doc_id", "text")).dropDuplicates(["doc_id", "key"])
-    spans = spans.withColumn("all", F.array_sort(F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"), s["end"].alias("end")))))
-    spans = spans.where(F.size("all") > 0).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("all").alias("_all"))
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    ordered = F.array_sort(F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    spans = spans.select(F.col("doc_id").alias(of), F.col("key").alias(text_key), ordered.alias(every_span)).where(F.size(every_span) > 0)
+    joined = docs.withColumn(key, F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(text_key)), "left")
+
+    def between(pages: Column, a: Column, b: Column) -> Column:
+        """The text from a to b, from its pages: a place in a string is found by counting from its beginning."""
+
+        def part(k: Column) -> Column:
+            first = F.greatest(a - k * PAGE, F.lit(0))
+            return F.substr(F.get(pages, k), first + 1, F.least(b - k * PAGE, F.lit(PAGE)) - first)
+
+        return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / PAGE).cast("int"), F.floor((b - 1) / PAGE).cast("int")), part), "")).otherwise("")
+
+    def clean(pages: Column, all_spans: Column, ends: Column) -> Column:
+        """What is between the spans, with their kinds; those that begin before an earlier one's end only lengthen it."""
+
+        def piece(s: Column, i: Column) -> Column:
+            done = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+            return F.when(s["start"] >= done, F.concat(between(pages, done, s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
 
-    def cut(acc: Column, s: Column) -> Column:
-        """Spans that begin before the last one's end only lengthen it."""
-        new = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+        return F.concat(F.array_join(F.transform(all_spans, piece), ""), between(pages, F.get(ends, F.size(ends) - 1), F.length("text")))
 
-    clean = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    out = joined.withColumn("text", F.when(F.col("_all").isNotNull(), clean).otherwise(F.col("text")))
+    pages = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    new = let(F.col(every_span), lambda a: let(running(F.transform(a, lambda s: s["end"]), F.greatest), lambda ends: let(pages, lambda p: clean(p, a, ends))))
+    out = joined.withColumn("text", F.when(F.col(every_span).isNotNull(), new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_all").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(every_span).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*every(docs))
 
 
 def joined(spans: Column) -> Column:

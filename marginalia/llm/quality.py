@@ -14,12 +14,14 @@ and without a label; no labelled row: every score is 0.5; repeated rows score al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mixed, side_by_side, span_hashes, table, utf8, word_spans
+from marginalia.llm.common import every, mixed, side_by_side, span_hashes, table, utf8, word_spans
 
 BITS = 18
 FIT_ROWS = 6_000
@@ -30,9 +32,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 0.1
 SAME = np.uint64(0x5851F42D4C957F2D)
 
 
-def features(texts: list[bytes]) -> list[np.ndarray]:
+def features(texts: list[bytes]) -> Iterator[np.ndarray]:
     """Coordinates of each text's words, words' ends and pairs."""
-    out = []
     for own in side_by_side([t.lower() for t in texts]):
         a, starts, ends, cut = word_spans(own)
         words = span_hashes(a, starts, ends)
@@ -42,8 +43,7 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
             pairs = np.where(words[1:] == words[:-1], SAME, mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]))
         words, tails, pairs = ((x >> np.uint64(64 - BITS)).astype(np.int64) for x in (words, tails, pairs))
         for i, j in zip(np.r_[0, cut], np.r_[cut, len(words)]):
-            out.append(np.concatenate([words[i:j], tails[i:j], pairs[i : max(i, j - 1)]]))
-    return out
+            yield np.concatenate([words[i:j], tails[i:j], pairs[i : max(i, j - 1)]])
 
 
 def logistic(x):
@@ -57,7 +57,7 @@ def train(texts: list[bytes], labels: list[int]) -> np.ndarray:
     for found in features(texts):
         at, count = np.unique(found, return_counts=True)
         total = max(1, count.sum())
-        rows.append((np.r_[at, 1 << BITS], np.r_[count / np.sqrt(total), 1.0]))
+        rows.append((np.r_[at, 1 << BITS].astype(np.int32), np.r_[count / np.sqrt(total), 1.0].astype(np.float32)))
 
     def weights(at) -> np.ndarray:
         w = -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
@@ -103,7 +103,8 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.float64())], [*names, name])
 
     schema = docs.limit(0).withColumn(name, F.lit(0.0)).schema
-    return docs.withColumn("_utf8", utf8("text")).mapInArrow(run, schema)
+    numbered = docs.select(*every(docs), utf8("text")).toDF(*(f"c{i}" for i in range(len(names) + 1)))  # whatever names hold
+    return numbered.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -176,6 +176,18 @@ def test_pii_contexts_reach_records_unseen_identifiers_and_handles(spark):
     assert {i: f for i, f in found.items() if f} == {10: ["77123456"], 11: ["jane@host"]} | {30 + i: [f"4455{i}"] for i in range(9)}
 
 
+def test_pii_whole_entities_are_instances(spark):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400-0000-0000-0000", "6011 0000 0000 0004", "4012 8888 8888 1881"]
+    rows = [(i, f"Please pay with card {c}, today") for i, c in enumerate(cards)] + [(10 + i, f"write to address jane{i}@corp.example now") for i in range(4)]
+    rows += [(20, "please pay with card 4999 8888 7777 today"), (21, "Write to address jane@corp, now"), (22, "please pay with card 12 today"), (23, "é日\n" * 3000 + "x write to address (joe@corp); a@b.co" + " é" * 5000)]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {i: [texts[i][s["start"] : s["end"]] for s in r["found"]] for i, r in by_id(pii.find_pii(df)).items()}
+    assert {i: f for i, f in found.items() if f} == {20: ["4999 8888 7777"], 21: ["jane@corp"], 23: ["joe@corp"]}
+    clean = by_id(pii.redact(df.withColumn("text_key", F.lit("kept")).withColumn("spans", F.lit("too"))))
+    assert clean[23]["text"] == texts[23].replace("joe@corp", "<context>").replace("a@b.co", "<email>") and (clean[23]["text_key"], clean[23]["spans"]) == ("kept", "too")
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 16)).astype(np.float32)
@@ -373,6 +385,22 @@ def test_families_in_several_blocks(spark, monkeypatch):
     assert 2 < len({c for _, c in want.values()}) < len(rows)
 
 
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["utf8", "_utf8", "_id", "_key", "_copies", "_all", "_copy", "row_key", "group_key", "turn", "copies", "spans", "span_of", "quality_score", "_quality_score", "a.b", "bucket"]
+    text = " ".join(f"w{i}" for i in range(30)) + " a@b.co"
+    rows = [(i, t, "en", "s", 1, *names) for i, t in ((1, text), (1, text), (1, text), (2, text), (3, "other words that are here"), (3, "not the same text at all"), (4, None), (5, ""))]
+    now = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == now.columns, name
+        assert all(r[len(r) - len(names) :] == tuple(names) for r in out.collect()), name
+    kept = [r["doc_id"] for r in corpus_pipeline.distinct(spark, now, "").collect()]
+    assert sorted(kept) == [1, 3, 3, 4, 5]
+
+
 def test_pipeline_stages(docs, empty, spark, tmp_path):
     import corpus_pipeline
 
