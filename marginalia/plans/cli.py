@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from argparse import ArgumentParser
 
+from pyspark.errors import PythonException
 from pyspark.sql import SparkSession
 
 from marginalia.functions.tokens import CharacterCounter, TiktokenCounter
@@ -27,6 +29,13 @@ def parser() -> ArgumentParser:
     return p
 
 
+def value_fault(trace: str) -> str | None:
+    """The last fault that a worker's traceback tells, if it is one of a value, as a malformed reply's is."""
+    told = re.findall(r"^(?:[\w.]+\.)?(\w+(?:Error|Exception)): ?(.*)$", trace, re.MULTILINE)
+    kinds = ("ValueError", "JSONDecodeError", "UnicodeDecodeError")
+    return next((text for kind, text in reversed(told) if kind in kinds), None)
+
+
 def main(argv: list[str] | None = None, stdin=None) -> int:
     """0: done; 1: blank paper or a fault in values; 2: wrong arguments."""
     p = parser()
@@ -45,6 +54,11 @@ def main(argv: list[str] | None = None, stdin=None) -> int:
     except ValueError as e:
         print(f"Configuration Error: {e}", file=sys.stderr)
         return 1
+    except PythonException as e:
+        if not (fault := value_fault(str(e))):
+            raise
+        print(f"Configuration Error: {fault}", file=sys.stderr)
+        return 1
     print(report)
     if not args.no_cost_estimate:
         print(V.COST_HEADING)

@@ -179,6 +179,66 @@ def prompt_scoring_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def by_dimension_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each declared dimension how many of all high-quality proposals it has; dimensions without one stay."""
+    return selection.by_dimension(_high(spark, sf_dir)).select("dimension", F.size("members").cast("long").alias("n"))
+
+
+def papers_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals dealt to papers by their source: each paper has its own ranks."""
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("paper_id"))
+    rows = selection.ranked(scored_1(spark, sf_dir).drop("paper_id").join(source, "id"))
+    return rows.where("high_quality").select("paper_id", "id", "rk", "rk_hq", "rk_uniq")
+
+
+def _high_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """High-quality proposals with their texts and means."""
+    return _high(spark, sf_dir).select("paper_id", "id", "rk", "dimension", *V.CRITERIA).join(proposals(spark, sf_dir).select("id", "text"), "id")
+
+
+def prompt_critic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The critic's prompt for each high-quality proposal; its own document is the paper."""
+    rows = _high_texts(spark, sf_dir)
+    asked = prompts.critic(F.col("text"), F.col("id"), prompts.proposal_json(rows.columns))
+    return rows.select("id", *(F.md5(asked[k]["content"].cast("binary")).alias(f"{name}_md5") for k, name in enumerate(("system", "user"))))
+
+
+def prompt_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revision prompt for each high-quality proposal with a critique."""
+    rows = critique.with_critique(_high_texts(spark, sf_dir), critiques(spark, sf_dir))
+    asked = prompts.revision(F.col("text"), F.col("id"), F.col("dimension"), F.col("text"), F.col("critique_text"))
+    return rows.select("id", *(F.md5(asked[k]["content"].cast("binary")).alias(f"{name}_md5") for k, name in enumerate(("system", "user"))))
+
+
+def _meta_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's request; digests stand for texts, so that the prompt of a whole table stays small."""
+    from marginalia.plans.review import Reviewer
+
+    rows = scored_1(spark, sf_dir).join(proposals(spark, sf_dir).select("id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text")), "id")
+    chosen = selection.select_and_classify(rows, TOP_K)
+    chosen.critiques = critiques(spark, sf_dir).withColumn("critique_text", F.md5(F.coalesce("critique_text", F.lit("")).cast("binary")))
+    return Reviewer(spark).meta_requests(spark.createDataFrame([(PAPER,)], "paper_id string"), chosen, TOP_K)
+
+
+def prompt_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's prompt, with its five lists."""
+    user = F.col("user")
+    return _meta_requests(spark, sf_dir).select(F.length(user).cast("long").alias("user_chars"), F.md5(user.cast("binary")).alias("user_md5"))
+
+
+def stage_cost_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What critiques, revision and the report cost; characters stand for tokens."""
+    papers = spark.createDataFrame([(PAPER, "A short paper.")], "paper_id string, paper_text string")
+    counter, high, heard = CharacterCounter(), _high_texts(spark, sf_dir), critiques(spark, sf_dir)
+    replies = papers.select("paper_id", F.lit("A report.").alias("meta_review"))
+    stages = [
+        cost.Stage("critiques", "gpt-5", cost.critique_tokens(high, heard, papers, counter)),
+        cost.Stage("revision", "gpt-5", cost.revision_tokens(high, heard, papers, counter)),
+        cost.Stage("meta_review", "gpt-5", cost.meta_tokens(_meta_requests(spark, sf_dir), replies, counter)),
+    ]
+    return cost.stage_costs(papers, stages).select("stage", "model", "prompt_tokens", "completion_tokens", "total_tokens", "cost_usd")
+
+
 def pipeline_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole review of every document as a paper, on the stub."""
     from marginalia.plans.review import Reviewer
@@ -263,12 +323,49 @@ def _sql_costs() -> str:
 """
 
 
+def _sql_proposal() -> str:
+    return _sql_json(id="id", dimension="dimension", text="text", **{c: c for c in V.CRITERIA})
+
+
+def _sql_list(source: str, order: str, *fields: str) -> str:
+    """Spaced JSON of the rows of a source."""
+    cells = [f"""'"{f}": ' || """ + (f"""'"' || {f} || '"'""" if f in ("dimension", "text", "critique_text") else f"CAST({f} AS VARCHAR)") for f in fields]
+    return f"(SELECT '[' || coalesce(string_agg('{{' || " + " || ', ' || ".join(cells) + f" || '}}', ', ' ORDER BY {order}), '') || ']' FROM {source})"
+
+
+_META = f"""{_CORE}, g AS (SELECT * REPLACE (md5(coalesce(text, '')) AS text) FROM k1), gh AS (SELECT * REPLACE (md5(coalesce(text, '')) AS text) FROM h1),
+cs AS (SELECT conv_id AS original_id, turn, md5(coalesce(text, '')) AS critique_text FROM conversations WHERE role = 'assistant'),
+q AS (SELECT {_sql_template(
+    V.META_PROMPT,
+    by_dimension="'{' || " + " || ', ' || ".join(f"""'"{d}": ' || """ + _sql_list(f"gh WHERE dimension = '{d}'", "rk", "id", "text", *V.CRITERIA, "composite") for d in V.DIMENSIONS) + " || '}'",
+    strongest=_sql_list(f"g WHERE rk <= {TOP_K}", "rk", "id", "dimension", "text", "composite"),
+    unique=_sql_list(f"gh WHERE rk_uniq <= {TOP_K}", "rk_uniq", "id", "dimension", "text", "uniqueness", "composite"),
+    critiques=_sql_list("cs", "turn, original_id, critique_text", "original_id", "critique_text"),
+    high_quality=_sql_list("gh", "rk", "id", "dimension", "text", *V.CRITERIA, "composite"),
+)} AS u)
+"""
+
+
+def _sql_reviewed() -> str:
+    price_in, price_out, _ = cost.lookup_price("gpt-5")
+    critic = _sql_template(V.CRITIC_PROMPT, paper="'A short paper.'", id="id", proposal=_sql_proposal())
+    small = _sql_json(id="id", dimension="dimension", text="text")
+    revised = _sql_template(V.REVISION_PROMPT, paper="'A short paper.'", id="id", dimension="dimension", proposal=small, critique="critique_text")
+    return f"""{_META}, stages AS (
+  SELECT 'critiques' AS stage, sum({len(V.CRITIC_SYSTEM)} + length({critic})) AS p, sum(CASE WHEN critique_text IS NULL THEN 0 ELSE length({_sql_json(original_id='id', critique_text='critique_text')}) END) AS c FROM h1 LEFT JOIN c ON id = original_id
+  UNION ALL SELECT 'revision', sum({len(V.REVISION_SYSTEM)} + length({revised})), sum(length({small})) FROM h1 JOIN c ON id = original_id WHERE critique_text <> ''
+  UNION ALL SELECT 'meta_review', {len(V.META_SYSTEM)} + length(u), {len('A report.')} FROM q
+) SELECT stage, 'gpt-5' AS model, CAST(p AS BIGINT) AS prompt_tokens, CAST(c AS BIGINT) AS completion_tokens, CAST(p + c AS BIGINT) AS total_tokens,
+  CAST(p AS DOUBLE) * CAST({price_in!r} AS DOUBLE) + CAST(c AS DOUBLE) * CAST({price_out!r} AS DOUBLE) AS cost_usd FROM stages"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         worker_assignments, two_pass_mean, judge_disagreement, composite_score, rank_composite, high_quality, low_value_ids, rank_uniqueness, top_k,
         by_dimension_counts, by_dimension_members, critique_last_wins, critique_lookup, revise_candidates, unrevised_anti, merged_round2, select_round2,
-        stage_cost, cost_total, prompt_generation, prompt_scoring_ordered, pipeline_stub,
+        stage_cost, cost_total, prompt_generation, prompt_scoring_ordered, by_dimension_sizes, papers_ranked, prompt_critic, prompt_revision,
+        prompt_meta, stage_cost_reviewed, pipeline_stub,
     )
 }
 
@@ -294,4 +391,11 @@ SQL = {
     "cost_total": _sql_costs() + "SELECT CAST(sum(prompt_tokens) AS BIGINT) AS total_prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS total_completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(cost_usd ORDER BY stage_pos)), lambda a, x: a + x) AS total_cost_usd FROM priced",
     "prompt_generation": f"SELECT id, length(u) AS user_chars, md5(u) AS user_md5, '{md5((V.GENERATION_SYSTEM + V.PERSONA_JOINT + V.EDITOR).encode()).hexdigest()}' AS system_md5 FROM (SELECT doc_id AS id, {_sql_template(V.GENERATION_PROMPT, paper='text', id='doc_id')} AS u FROM documents)",
     "prompt_scoring_ordered": _CORE + " UNION ALL ".join(f"SELECT id, CAST({n} AS BIGINT) AS pass, md5({_sql_ordered(r, c)}) AS user_md5 FROM p" for n, r, c in V.PASSES),
+    "by_dimension_sizes": _CORE + "SELECT d.dimension, count(h1.id) AS n FROM d LEFT JOIN h1 ON h1.dimension = d.dimension GROUP BY d.dimension",
+    "papers_ranked": _CORE + f"""SELECT paper_id, id, rk, row_number() OVER (PARTITION BY paper_id ORDER BY rk) AS rk_hq, row_number() OVER (PARTITION BY paper_id ORDER BY uniqueness DESC, rk) AS rk_uniq
+FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY composite DESC, pos) AS rk FROM s1 JOIN (SELECT doc_id AS id, coalesce(source, '') AS paper_id FROM documents) USING (id)) WHERE {_FLAGS}""",
+    "prompt_critic": _CORE + f"SELECT id, '{md5(V.CRITIC_SYSTEM.encode()).hexdigest()}' AS system_md5, md5({_sql_template(V.CRITIC_PROMPT, paper='text', id='id', proposal=_sql_proposal())}) AS user_md5 FROM h1",
+    "prompt_revision": _CORE + f"SELECT id, '{md5(V.REVISION_SYSTEM.encode()).hexdigest()}' AS system_md5, md5({_sql_template(V.REVISION_PROMPT, paper='text', id='id', dimension='dimension', proposal=_sql_json(id='id', dimension='dimension', text='text'), critique='critique_text')}) AS user_md5 FROM h1 JOIN c ON id = original_id",
+    "prompt_meta": _META + "SELECT length(u) AS user_chars, md5(u) AS user_md5 FROM q",
+    "stage_cost_reviewed": _sql_reviewed(),
 }

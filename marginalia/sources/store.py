@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; where none is named, a temporary one in local mode, and an error elsewhere."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="marginalia-")
+
+
 class StageStore:
     """One folder for each stage. Rows are named by key columns; what is there already isn't asked for again."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        base = root or f"{spark.conf.get('spark.checkpoint.dir', '/tmp/marginalia-stages').rstrip('/')}/stages-{uuid.uuid4().hex}"
-        self.root = base
+        self.root = root or f"{_shared_dir(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
 
     def path(self, stage: str) -> str:
         return f"{self.root}/{stage}"

@@ -234,3 +234,14 @@ def test_command_line(spark, capsys):
     with pytest.raises(SystemExit) as e:
         main(["--file", "x", "--paste"], io.StringIO(""))
     assert e.value.code == 2
+
+
+def test_a_malformed_reply_ends_the_command_line(spark, capsys, monkeypatch, tmp_path):
+    from marginalia.plans import cli
+
+    (tmp_path / "paper.txt").write_text("A paper.")
+    monkeypatch.setattr(cli, "StubBackend", Broken)
+    assert cli.main(["--file", str(tmp_path / "paper.txt"), "--agents", "8"]) == 1
+    assert "Configuration Error" in capsys.readouterr().err
+    assert cli.value_fault("Traceback\nRuntimeError: no\n") is None
+    assert cli.value_fault("Traceback\njson.decoder.JSONDecodeError: Expecting value: line 1\n") == "Expecting value: line 1"
