@@ -24,7 +24,7 @@ from marginalia.llm.webp import decode, encode_rgb
 
 ROW = 192
 FRAME_ROWS = 32
-#: Bytes of payload that are encoded and decoded side by side; a longer payload is a group of its own.
+#: Bytes of payload that are encoded and decoded side by side.
 GROUP = 8 << 20
 
 
@@ -32,6 +32,16 @@ def payload(text: bytes) -> bytes:
     return text + b" " * (-len(text) % ROW if text else ROW)
 
 
+def _parts(frames: list) -> list[list]:
+    """Frames, GROUP bytes of payload at most at a time: what is coded side by side stays bounded however long a text is."""
+    n = GROUP // (ROW * FRAME_ROWS)
+    return [frames[i : i + n] for i in range(0, len(frames), n)]
+
+
+def _rgb(x: np.ndarray) -> np.ndarray:
+    return np.stack([x >> np.uint32(s) & np.uint32(255) for s in (16, 8, 0)], 2).astype(np.uint8)
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
     """Each payload's files, end to end."""
     frames, counts = [], []
@@ -40,7 +50,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
         own = [x[i : i + FRAME_ROWS] for i in range(0, len(x), FRAME_ROWS)]
         frames += own
         counts.append(len(own))
-    files, ends = encode_rgb(frames), np.cumsum(counts)
+    files, ends = [f for own in _parts(frames) for f in encode_rgb(own)], np.cumsum(counts)
     return [b"".join(files[e - n : e]) for e, n in zip(ends, counts)]
 
 
@@ -57,11 +67,10 @@ def files_of(media: bytes) -> list[bytes]:
 def read(media: list[bytes]) -> list[np.ndarray]:
     """Pixel arrays [rows, 64, 3] of each."""
     files = [files_of(m) for m in media]
-    images = decode([f for own in files for f in own])
+    images = [_rgb(x) for own in _parts([f for own in files for f in own]) for x in decode(own)]
     out, at = [], 0
     for own in files:
-        x = np.concatenate(images[at : at + len(own)])
-        out.append(np.stack([x >> np.uint32(16) & 255, x >> np.uint32(8) & 255, x & np.uint32(255)], 2).astype(np.uint8))
+        out.append(np.concatenate(images[at : at + len(own)]))
         at += len(own)
     return out
 

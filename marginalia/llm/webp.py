@@ -4,7 +4,9 @@ All images of a call are decoded side by side: each step reads the next pixel of
 that numpy's cost of a call is shared. The decoder knows prefix codes (simple and coded), groups of codes chosen by an
 entropy image, back-references with the short-distance table, the colour cache, and the inverse transforms:
 predictor, cross-colour, subtract-green and palette with packed indices. The encoder writes literals with one group of
-prefix codes for each image, fitted to its bytes, and a palette where an image has at most two colours.
+prefix codes for each image, fitted to its bytes. Images of few colours for their size are written with back-references, once
+with a colour cache and, if there are at most MOST_COLOURS, once with a palette, and the shorter file is kept. Predictor and cross-colour, which
+model gradients, are read but not written: they lengthen files of text.
 
 Pixels are arrays of uint32, alpha << 24 | red << 16 | green << 8 | blue.
 """
@@ -38,6 +40,11 @@ PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 LENGTHS, DISTANCES, LITERALS = 24, 40, 256
 LONGEST = 15
 
+#: An image has few colours for its size if it has so many times more pixels, and enough of these.
+FEW, LEAST_PIXELS = 5, 128
+MOST_COLOURS, CACHE_BITS = 64, 6
+LONGEST_COPY = 4_096
+
 
 class Bits:
     """Reads a bitstream, least significant bit first."""
@@ -514,7 +521,9 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
         _header(p, True)
         mains.append(p)
         todo.append((width, height, steps))
-    _pixels(mains)
+    rich = [p for p in mains if p.cache or p.chosen is not None or int(p.tables[0].max()) >> 4 >= LITERALS]
+    _pixels([p for p in mains if not any(p is r for r in rich)] if rich else mains)
+    _pixels(rich)
     out = []
     for p, (width, height, steps) in zip(mains, todo):
         x = p.pixels
@@ -572,18 +581,154 @@ def _flat_image(width: int, height: int, colour: np.ndarray) -> bytes:
     return riff(out.word.to_bytes(-(-out.n // 8), "little"))
 
 
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Symbol, extra bits and their number of a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    x = value - 1
+    top = x.bit_length() - 1
+    return 2 * top + (x >> (top - 1) & 1), x & ((1 << (top - 1)) - 1), top - 1
+
+
+def _references(values: list[int], width: int, cache_bits: int) -> list[tuple[int, int, int]]:
+    """Tokens of pixels: (0, pixel, 0), (1, length, distance code) of a copy, (2, place in the cache, 0)."""
+    near = {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(SHORT_DISTANCES)))}
+    out, last, cache, i = [], {}, [0] * (1 << cache_bits), 0
+    while i < len(values):
+        key, n = tuple(values[i : i + 3]), 1
+        j = last.get(key, -1) if len(key) == 3 else -1
+        if j >= 0:
+            n = 3
+            while i + n < len(values) and n < LONGEST_COPY and values[j + n] == values[i + n]:
+                n += 1
+            out.append((1, n, near.get(i - j, i - j + len(SHORT_DISTANCES))))
+        else:
+            place = (values[i] * HASH & 0xFFFFFFFF) >> (32 - cache_bits)
+            out.append((2, place, 0) if cache_bits and cache[place] == values[i] else (0, values[i], 0))
+        last[key] = i
+        if cache_bits:
+            for v in values[i : i + n]:
+                cache[(v * HASH & 0xFFFFFFFF) >> (32 - cache_bits)] = v
+        i += n
+    return out
+
+
+def _even(symbols: list[int], size: int) -> np.ndarray:
+    """Lengths of a complete code of nearly equal lengths."""
+    own, out = sorted(set(symbols)), np.zeros(size, np.int64)
+    longest = max(1, (len(own) - 1).bit_length())
+    for k, s in enumerate(own):
+        out[s] = longest - (len(own) > 1 and k < (1 << longest) - len(own))
+    return out
+
+
+def _with_palette(x: np.ndarray, colours: np.ndarray) -> tuple[Writer, list[tuple[int, int, int]]]:
+    """The stream up to the index image's codes, and its tokens."""
+    out = _opened(x.shape[1], x.shape[0])
+    out.put(1, 1)
+    out.put(PALETTE, 2)
+    out.put(len(colours) - 1, 8)
+    steps = [(np.diff(c, prepend=0) & 255).tolist() for c in _split(colours)]
+    out.put(0, 1)
+    codes = [_even(steps[c], 280 if c == 2 else 256) for c in (2, 1, 3, 0)]  # green, red, blue, alpha
+    for lengths in (*codes, _single(0, DISTANCES)):
+        write_code(out, lengths)
+    written = [(canonical(c[None])[0], c, (c > 0).sum() > 1) for c in codes]
+    for pixel in zip(*(steps[c] for c in (2, 1, 3, 0))):
+        for s, (code, lengths, many) in zip(pixel, written):
+            if many:
+                out.put(int(code[s]), int(lengths[s]))
+    out.put(0, 1)  # no further transform
+    out.put(0, 2)  # no colour cache, one group
+    bits = pack_bits(len(colours))
+    index = np.searchsorted(colours, _merge(255, *(x.reshape(-1, 3)[:, c].astype(np.int64) for c in range(3)))).reshape(x.shape[:2])
+    index = np.pad(index, ((0, 0), (0, -x.shape[1] % (1 << bits))))
+    packed = (index.reshape(len(x), -1, 1 << bits) << (np.arange(1 << bits) * (8 >> bits))).sum(2)
+    return out, _references((packed.ravel() << 8).tolist(), packed.shape[1], 0)
+
+
+def _of_few_colours(images: list[np.ndarray]) -> list[bytes]:
+    """Files with back-references: with a colour cache, or with a palette where that is shorter."""
+    if not images:
+        return []
+    heads, tokens, owner, sizes = [], [], [], []
+    for i, x in enumerate(images):
+        pixels = _merge(255, *(x.reshape(-1, 3)[:, c].astype(np.int64) for c in range(3)))
+        out = _opened(x.shape[1], x.shape[0])
+        out.put(0, 1)  # no transform
+        out.put(1, 1)
+        out.put(CACHE_BITS, 4)
+        out.put(0, 1)  # one group
+        heads.append(out), tokens.append(_references(pixels.tolist(), x.shape[1], CACHE_BITS)), owner.append(i), sizes.append(LITERALS + LENGTHS + (1 << CACHE_BITS))
+        colours = np.unique(pixels)
+        if len(colours) <= MOST_COLOURS:
+            out, own = _with_palette(x, colours)
+            heads.append(out), tokens.append(own), owner.append(i), sizes.append(LITERALS + LENGTHS)
+    counts = [np.zeros((len(heads), n), np.int64) for n in (max(sizes), 256, 256, DISTANCES)]
+    for k, own in enumerate(tokens):
+        for kind, a, b in own:
+            if kind == 0:
+                counts[0][k, a >> 8 & 255] += 1
+                counts[1][k, a >> 16 & 255] += 1
+                counts[2][k, a & 255] += 1
+            elif kind == 1:
+                counts[0][k, LITERALS + _prefix(a)[0]] += 1
+                counts[3][k, _prefix(b)[0]] += 1
+            else:
+                counts[0][k, LITERALS + LENGTHS + a] += 1
+    for c in counts:
+        c[c.sum(1) == 0, 0] = 1
+    lengths = [fitted(c) for c in counts]
+    codes = [canonical(c) for c in lengths]
+    best: list[bytes | None] = [None] * len(images)
+    for k, (out, own, i) in enumerate(zip(heads, tokens, owner)):
+        mine = [c[k] for c in lengths]
+        mine[0] = mine[0][: sizes[k]]
+        for c in (*mine[:3], _single(255, 256), mine[3]):
+            write_code(out, c)
+        table = [(code[k].tolist(), (n if (n > 0).sum() > 1 else n * 0).tolist()) for code, n in zip(codes, mine)]
+
+        def put(which: int, s: int, out: Writer = out, table: list = table) -> None:
+            if n := table[which][1][s]:
+                out.put(table[which][0][s], n)
+
+        for kind, a, b in own:
+            if kind == 0:
+                put(0, a >> 8 & 255), put(1, a >> 16 & 255), put(2, a & 255)
+            elif kind == 1:
+                for which, first, value in ((0, LITERALS, a), (3, 0, b)):
+                    s, more, n = _prefix(value)
+                    put(which, first + s)
+                    out.put(more, n)
+            else:
+                put(0, LITERALS + LENGTHS + a)
+        file = riff(out.word.to_bytes(-(-out.n // 8), "little"))
+        if best[i] is None or len(file) < len(best[i]):
+            best[i] = file
+    return best
+
+
+def _few_colours(x: np.ndarray) -> bool:
+    flat = x.reshape(-1, 3).astype(np.uint32)
+    return len(flat) >= LEAST_PIXELS and len(np.unique(flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2])) * FEW <= len(flat)
+
+
 def encode_rgb(images: list[np.ndarray]) -> list[bytes]:
-    """A file of each image ([height, width, 3] bytes): literals under prefix codes fitted to each image's channels."""
+    """A file of each image ([height, width, 3] bytes): literals under prefix codes fitted to each image's channels, and other ways where there are few colours."""
     if not images:
         return []
     files: list[bytes | None] = [None] * len(images)
-    rest = []
+    rest, few = [], []
     for i, x in enumerate(images):
         flat = x.reshape(-1, 3)
         if (flat == flat[0]).all():
             files[i] = _flat_image(x.shape[1], x.shape[0], flat[0])
+        elif _few_colours(x):
+            few.append(i)
         else:
             rest.append(i)
+    for i, file in zip(few, _of_few_colours([images[i] for i in few])):
+        files[i] = file
     if not rest:
         return files
     sizes = np.array([images[i].shape[0] * images[i].shape[1] for i in rest])

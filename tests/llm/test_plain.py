@@ -88,6 +88,22 @@ def test_media_of_many_lengths_at_once():
     assert len(media.files_of(stored[6])) == 7
 
 
+def test_stored_files_hold_references_caches_and_palettes():
+    rng = random.Random(4)
+    words = [bytes(rng.choices(range(97, 123), k=3)) for _ in range(60)]
+    texts = [b"abc" * 5000, b"ab" * 3000 + b"x", b"so it goes\n" * 900, b"".join(rng.choices(words, k=6000)), b"".join(rng.choices(words[:9], k=3000)), bytes(rng.choices(b"ab", k=9000))]
+    texts += [b"".join(w + b"&&&" * rng.randint(0, 4) for w in rng.choices(words[:20], k=n)) for n in (40, 300, 3000)]
+    stored = media.store([media.payload(t) for t in texts])
+    assert [x.tobytes() for x in media.read(stored)] == [media.payload(t) for t in texts]
+    found = set()
+    for file in (f for m in stored for f in media.files_of(m)):
+        bits = webp.Bits(file[20:], 8 + 29 + 3)
+        found |= {"palette"} if bits.read(1) else {"cache"} if bits.read(1) else {"literals"}
+    assert {"palette", "cache"} <= found
+    literal = [webp.encode_rgb([np.frombuffer(rng.randbytes(6144), np.uint8).reshape(32, 64, 3)])[0]]
+    assert max(len(f) for m in stored[:3] for f in media.files_of(m)) < len(literal[0]) / 20  # copies
+
+
 # --- the decoder's other features, from streams written here ----------------
 
 
