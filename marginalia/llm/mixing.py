@@ -92,7 +92,7 @@ def _joined(rows: DataFrame, plan: DataFrame, n: int, keys: list[str]) -> DataFr
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, cap: float = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, quota (its shard's blocks), taken, copies (times that its first word's block is taken)."""
+    """doc_id, source, size, source_size, target, quota (its shard's blocks), taken, copies (taken over size, rounded up or down by a seeded draw)."""
     spark = docs.sparkSession
     sized = saved(docs.select("doc_id", "source", words_in("text").alias("size")))  # texts are read once
     sources = sorted(((r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
@@ -133,24 +133,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: floa
         return block_words * (chosen(b) - chosen(F.lit(0))) + rest * (chosen(b + 1) - chosen(b))
 
     taken = F.col("whole") * F.col("size") + before(F.col("ends")) - before(F.col("begins"))
-    own = F.floor(F.col("begins") / block_words)
-    copies = F.col("whole") + chosen(own + 1) - chosen(own)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "size"), F.lit(1 << 20)) / (1 << 20)
+    copies = F.when(F.col("size") > 0, F.floor(taken / F.col("size") + draw)).otherwise(0)
     return lines.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """docs, each whole and in as many copies as the mix takes of it; the columns stay.
 
-    Words taken over size is rounded up or down by a seeded draw, so that the words of all copies come near those taken
-    also where documents are long. Rows of equal doc_id, source and size have equally many copies.
+    Copies are rounded by a seeded draw, so that the words of all copies come near those taken also where documents are
+    long. Rows of equal doc_id, source and size have equally many copies.
     """
-    d, s, n, k, copy = free(docs, "mixed_id", "mixed_source", "mixed_size", "copies", "copy")
-    taken = mix_sources(docs.select("doc_id", "source", "text"), seed=seed, **how).where("size > 0").groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n)).agg(F.avg("taken").alias(k))
-    draw = F.pmod(F.xxhash64(F.lit(seed + 3), d, n), F.lit(1 << 20)) / (1 << 20)
-    copies = taken.withColumn(k, F.floor(F.col(k) / F.col(n) + draw).cast("int")).where(F.col(k) > 0)
-    sized = docs.withColumn(copy, words_in("text"))
-    out = sized.join(copies, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(copy) == F.col(n)))
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*every(docs))
+    d, s, n, k, own = free(docs, "mixed_id", "mixed_source", "mixed_size", "copies", "own_size")
+    mix = mix_sources(docs.select("doc_id", "source", "text"), seed=seed, **how).where("copies > 0")
+    copies = mix.groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n)).agg(F.max("copies").alias(k))
+    sized = docs.withColumn(own, words_in("text"))
+    out = sized.join(copies, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(own) == F.col(n)))
+    return out.withColumn(own, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*every(docs))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
