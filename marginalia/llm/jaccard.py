@@ -46,9 +46,9 @@ HOT = 6
 #: Segments beyond the pigeonhole's need that the allocation aims at, for larger sets.
 SPARE = 8
 #: Sets and elements of a block of a family.
-BLOCK_SETS, BLOCK_GRAMS = 2_048, 2_000_000
+BLOCK_SETS, BLOCK_GRAMS = 1_024, 1_000_000
 #: Elements that more sets of two blocks share are counted by products of matrices of COLUMNS columns, others by pairs.
-COMMON, COLUMNS = 16, 4_096
+COMMON, COLUMNS = 16, 1_024
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
