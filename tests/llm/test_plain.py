@@ -1,6 +1,8 @@
 """What needs no Spark: codecs, packing, apportionment, hashing, the classifier, against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -418,6 +420,32 @@ def test_classifier_learns_and_is_deterministic():
     assert all(p(t) > 0.5 for t in good[60:]) and all(p(t) < 0.5 for t in bad[60:])
 
 
+def test_classifier_equals_plain_ftrl():
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(" ".join(rng.choices(words[: 60 - 30 * (k % 2)], k=rng.randint(0, 50))).encode(), k % 2) for k in range(60)]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for t, y in rows:
+            (at,) = quality.features([t])
+            x = {int(i): float(np.float32(k / math.sqrt(len(at)))) for i, k in Counter(at.tolist()).items()} | {1 << quality.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i]
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    got = quality.train([t for t, _ in rows], [y for _, y in rows])
+    assert set(np.flatnonzero(got).tolist()) == {i for i in z if weight(i)}
+    assert all(got[i] == pytest.approx(weight(i), rel=1e-4, abs=1e-6) for i in z)
+
+
 def test_tables_stay_between_one_and_customers():
     rng = np.random.default_rng(1)
     c = rng.integers(0, 300, 500).astype(float)
