@@ -369,7 +369,7 @@ def _next(vocabulary: DataFrame, buckets: int, state: State, sweep: int | None,
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of each text, learned from the rows not held out."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity (a token's) of each text, learned from the rows not held out."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
@@ -406,10 +406,11 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
         out.append(Stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES), "scores").df)
         released(spark)
     vocabulary.drop()
-    return reduce(DataFrame.union, out).withColumn("train_tokens", F.lit(n).cast("long"))
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return reduce(DataFrame.union, out).withColumn("train_tokens", F.lit(n).cast("long")).withColumn("perplexity", perplexity)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     out = score_documents(table(spark, sf_dir, "documents"), held)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -248,7 +248,7 @@ def test_lm(docs, empty):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(c[w] > 0 for w in own), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel_tol=1e-9)
-        assert r["score"] < 0
+        assert r["score"] < 0 and r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(own)))
     assert got[6]["score"] == got[7]["score"]
     assert hpylm.score_documents(empty, held).count() == 0
     alone = hpylm.score_documents(docs.where("doc_id < 5"), F.lit(True)).collect()
