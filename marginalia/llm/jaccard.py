@@ -49,6 +49,8 @@ SPARE = 8
 BLOCK_SETS, BLOCK_GRAMS = 1_024, 1_000_000
 #: Elements that more sets of two blocks share are counted by products of matrices of COLUMNS columns, others by pairs.
 COMMON, COLUMNS = 16, 1_024
+#: Pairs that are counted at once, and signatures that a task holds before it sends them.
+PAIRS, HELD = 1 << 20, 1 << 21
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -148,11 +150,21 @@ def _blob(bucket, *cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], [x.split()[0] for x in BLOB.split(", ")])
 
 
+def _sent(sig: list[np.ndarray], who: list[np.ndarray], slack: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of the signatures."""
+    s, w, f = np.concatenate(sig), np.concatenate(who), np.concatenate(slack)
+    part = ((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    s, w, f, part = s[order].astype(np.uint32), w[order], f[order], part[order]
+    cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+    return _blob(part[cut[:-1]], *([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (s, w, f)), [b""] * (len(cut) - 1))
+
+
 def _index(buckets: int):
     def run(batches):
         seen: set[int] = set()  # copies within a task are indexed once
         for b in batches:
-            sig, who, slack, rows = [], [], [], []
+            sig, who, slack, rows, held = [], [], [], [], 0
             for doc_id, g in zip(b.column(0).to_pylist(), shingles(b.column(1).to_pylist())):
                 name = node(g)
                 rows.append((NO_ID if doc_id is None else doc_id, len(g), name))
@@ -164,16 +176,14 @@ def _index(buckets: int):
                     sig.append(s)
                     who.append(np.full(len(s), name, np.int64))
                     slack.append(np.full(len(s), 2 * min(max(lose, -1), 16_000) + own, np.int16))
+                    held += len(s)
+                if held > HELD:
+                    yield _sent(sig, who, slack, buckets)
+                    sig, who, slack, held = [], [], [], 0
             if rows:
                 yield _blob([rows[0][2] % buckets], *[[b""]] * 3, [np.array(rows, np.int64).tobytes()])
-            if not sig:
-                continue
-            s, w, f = np.concatenate(sig), np.concatenate(who), np.concatenate(slack)
-            part = ((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            s, w, f, part = s[order].astype(np.uint32), w[order], f[order], part[order]
-            cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-            yield _blob(part[cut[:-1]], *([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (s, w, f)), [b""] * (len(cut) - 1))
+            if sig:
+                yield _sent(sig, who, slack, buckets)
 
     return run
 
@@ -303,9 +313,12 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     few = np.flatnonzero(both & (n <= COMMON))
     for a, b in {(int(x), int(y)) for x, y in zip(in_left[few], n[few] - in_left[few])}:
         own = first[few[(in_left[few] == a) & (n[few] - in_left[few] == b)]]
-        x, y = row[order[own[:, None] + np.arange(a)]], row[order[own[:, None] + a + np.arange(b)]] - len(left)
-        pair, times = np.unique((x[:, :, None] * len(right) + y[:, None, :]).ravel(), return_counts=True)
-        out[pair] += times
+        step = max(1, PAIRS // (a * b))
+        for i in range(0, len(own), step):
+            some = own[i : i + step, None]
+            x, y = row[order[some + np.arange(a)]], row[order[some + a + np.arange(b)]] - len(left)
+            pair, times = np.unique((x[:, :, None] * len(right) + y[:, None, :]).ravel(), return_counts=True)
+            out[pair] += times
     out = out.reshape(len(left), len(right))
     many = both & (n > COMMON)
     column = np.cumsum(many) - 1
@@ -332,23 +345,18 @@ def _families(group: pa.Table) -> pa.Table:
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     if not left or not right:
         return none
-    both = common(left, right)
-    n = np.array([len(g) for g in sets], np.float32)
-    x, y = np.nonzero(both * DOWN >= (n[:cut, None] + n[None, offset:] - both) * UP)
-    y = y + offset
-    u, v = np.r_[x, y], np.r_[y, x]
-    if not len(u):
-        return none
-    order = np.argsort(u, kind="stable")
-    u, v = u[order], v[order]
-    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-    rank = np.argsort(np.argsort(names))
-    least = rank.copy()
+    both = common(left, right).astype(np.int64)  # as floats, products of long sets would be rounded
+    n = np.array([len(g) for g in sets], np.int64)
+    linked = both * DOWN >= (n[:cut, None] + n[None, offset:] - both) * UP
+    del both
+    by_name = np.argsort(names)
+    least, far = np.argsort(by_name).astype(np.int32), np.int32(len(names))
     while True:
         new = least.copy()
-        new[u[first]] = np.minimum(least[u[first]], np.minimum.reduceat(least[v], first))
-        np.minimum.at(new, np.argsort(rank)[least], new)  # a root that found a lesser one tells so
-        new = new[np.argsort(rank)[new]]
+        new[:cut] = np.minimum(new[:cut], np.where(linked, least[None, offset:], far).min(1))
+        new[offset:] = np.minimum(new[offset:], np.where(linked, least[:cut, None], far).min(0))
+        np.minimum.at(new, by_name[least], new)  # a root that found a lesser one tells so
+        new = new[by_name[new]]
         if (new == least).all():
             break
         least = new
