@@ -40,7 +40,7 @@ END_ID = 2
 #: Bytes of text that are tokenized side by side.
 TOGETHER = 4 << 20
 #: Words and pieces of a worker's cache (about 150 bytes each); a fuller one is emptied.
-CACHE = 800_000
+CACHE = 400_000
 #: Stands for the end of a document among its words; no word holds a space.
 END = b" "
 #: A word with other characters than these, or with upper case, is left to the tokenizer whole.
