@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import ann, chat, hpylm, jaccard, media, mixing, packing, pii, quality, substring
+from marginalia.llm import ann, byte_bpe, chat, hpylm, jaccard, media, mixing, packing, pii, quality, resampling, substring, vector_codes
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_packing": packing.op9_packing,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL = {
     "op1_chat_formatting": chat.SQL,
+    "op12_resampling": resampling.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
