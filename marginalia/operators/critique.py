@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from marginalia.operators.ranking import numbered
 
 def last_wins(critiques: DataFrame) -> DataFrame:
     """Of critiques of one proposal the last in their order (pos)."""
@@ -26,8 +26,7 @@ def with_critique(proposals: DataFrame, critiques: DataFrame, how: str = "inner"
 def revise_candidates(high_quality: DataFrame, critiques: DataFrame, revise_k: int) -> DataFrame:
     """The first revise_k of each paper's critiqued proposals, in composite order; ranked after the join, before any call."""
     found = with_critique(high_quality, critiques)
-    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("rk"))
-    return found.withColumn("revise_pos", place.cast("long")).where(F.col("revise_pos") <= revise_k)
+    return numbered(found, ["paper_id"], [F.asc("rk")], "revise_pos").where(F.col("revise_pos") <= revise_k)
 
 
 def unrevised(high_quality: DataFrame, revised: DataFrame) -> DataFrame:
@@ -40,5 +39,4 @@ def merged_rounds(scored_revised: DataFrame, high_quality: DataFrame) -> DataFra
     first = scored_revised.withColumn("_part", F.lit(0)).withColumn("_at", F.col("pos"))
     rest = unrevised(high_quality, scored_revised).withColumn("_part", F.lit(1)).withColumn("_at", F.col("rk"))
     both = first.drop(*ranks).unionByName(rest.drop(*ranks), allowMissingColumns=True)
-    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("_part", "_at"))
-    return both.withColumn("pos", place.cast("long")).drop("_part", "_at")
+    return numbered(both, ["paper_id"], [F.asc("_part"), F.asc("_at")], "pos").drop("_part", "_at")

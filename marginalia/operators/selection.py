@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from marginalia.operators.ranking import numbered, running
 from marginalia.plans.fixed_values import COMPOSITE_THRESHOLD, DIMENSIONS, IMPORTANCE_THRESHOLD, LOW_THRESHOLD
 
 
@@ -31,18 +31,13 @@ def is_known_dimension() -> Column:
     return F.coalesce(F.col("dimension").isin(*DIMENSIONS), F.lit(False))
 
 
-def by_composite() -> Window:
-    return Window.partitionBy("paper_id").orderBy(F.desc("composite"), F.asc("pos"))
-
-
 def ranked(scored: DataFrame) -> DataFrame:
     """scored with rk (by composite), high_quality, low_value, known_dimension, and of the high-quality ones rk_hq and rk_uniq (by uniqueness, ties by composite)."""
-    out = scored.withColumn("rk", F.row_number().over(by_composite()).cast("long"))
-    out = out.withColumn("high_quality", is_high_quality()).withColumn("low_value", is_low_value()).withColumn("known_dimension", is_known_dimension())
-    own = Window.partitionBy("paper_id", "high_quality")
-    place = F.row_number().over(own.orderBy("rk"))
-    unique = F.row_number().over(own.orderBy(F.desc("uniqueness"), F.asc("rk")))
-    return out.withColumn("rk_hq", F.when(F.col("high_quality"), place).cast("long")).withColumn("rk_uniq", F.when(F.col("high_quality"), unique).cast("long"))
+    flags = scored.withColumn("high_quality", F.coalesce(is_high_quality(), F.lit(False))).withColumn("low_value", is_low_value()).withColumn("known_dimension", is_known_dimension())
+    out = running(flags, ["paper_id"], [F.desc("composite"), F.asc("pos")], rk=F.lit(1), rk_hq=F.col("high_quality"))
+    high = numbered(out.where("high_quality"), ["paper_id"], [F.desc("uniqueness"), F.asc("rk")], "rk_uniq")
+    none = F.lit(None).cast("long")
+    return high.unionByName(out.where(~F.col("high_quality")).withColumn("rk_hq", none).withColumn("rk_uniq", none))
 
 
 class Selection:
@@ -74,6 +69,10 @@ class Selection:
     def sorted_by_uniqueness(self) -> DataFrame:
         return self.high_quality
 
+    @property
+    def dimension_members(self) -> DataFrame:
+        return dimension_members(self.high_quality)
+
     @property
     def by_dimension(self) -> DataFrame:
         return by_dimension(self.high_quality)
@@ -83,12 +82,33 @@ def dimensions(spark) -> DataFrame:
     return spark.createDataFrame(list(enumerate(DIMENSIONS)), "dimension_pos int, dimension string")
 
 
+def _domain(high_quality: DataFrame) -> DataFrame:
+    """Every dimension of every paper."""
+    return high_quality.select("paper_id").distinct().crossJoin(F.broadcast(dimensions(high_quality.sparkSession)))
+
+
+def dimension_members(high_quality: DataFrame) -> DataFrame:
+    """paper_id, dimension_pos, dimension, place (from 0, in composite order), id: a row for each member of a declared dimension."""
+    rows = high_quality.select("paper_id", "dimension", "rk", "id").join(F.broadcast(dimensions(high_quality.sparkSession)), "dimension")
+    out = numbered(rows, ["paper_id", "dimension"], [F.asc("rk")], "place")
+    return out.select("paper_id", "dimension_pos", "dimension", (F.col("place") - 1).alias("place"), "id")
+
+
+def dimension_sizes(high_quality: DataFrame) -> DataFrame:
+    """paper_id, dimension_pos, dimension, n: every dimension of every paper, empty ones too."""
+    counts = high_quality.groupBy("paper_id", "dimension").agg(F.count(F.lit(1)).alias("n"))
+    own = ["paper_id", "dimension"]
+    return _domain(high_quality).join(counts, own, "left").select("paper_id", "dimension_pos", "dimension", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def by_dimension(high_quality: DataFrame) -> DataFrame:
-    """paper_id, dimension, members (ids in composite order): every dimension of every paper, empty ones too; others left out."""
-    domain = high_quality.select("paper_id").distinct().crossJoin(F.broadcast(dimensions(high_quality.sparkSession)))
+    """paper_id, dimension_pos, dimension, members (ids in composite order): what a report quotes, a dimension of a paper in one row.
+
+    Where a dimension may be too long for a row, dimension_members has the same in rows.
+    """
     lists = high_quality.groupBy("paper_id", "dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "id"))), lambda x: x["id"]).alias("members"))
     none = F.array().cast("array<bigint>")
-    return domain.join(lists, ["paper_id", "dimension"], "left").select("paper_id", "dimension_pos", "dimension", F.coalesce(F.col("members").cast("array<bigint>"), none).alias("members"))
+    return _domain(high_quality).join(lists, ["paper_id", "dimension"], "left").select("paper_id", "dimension_pos", "dimension", F.coalesce(F.col("members").cast("array<bigint>"), none).alias("members"))
 
 
 def select_and_classify(scored: DataFrame, top_k: int) -> Selection:

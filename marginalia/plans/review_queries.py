@@ -101,12 +101,11 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def by_dimension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each declared dimension how many of the ten best it has; dimensions without one stay."""
     best = ranked_1(spark, sf_dir).where("rk <= 10 and high_quality")
-    return selection.by_dimension(best).select("dimension", F.size("members").cast("long").alias("n"))
+    return selection.dimension_sizes(best).select("dimension", "n")
 
 
 def by_dimension_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = selection.by_dimension(_high(spark, sf_dir))
-    return lists.select("dimension", F.posexplode("members").alias("place", "id")).select("dimension", F.col("place").cast("long").alias("place"), "id")
+    return selection.dimension_members(_high(spark, sf_dir)).select("dimension", "place", "id")
 
 
 def critique_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +180,7 @@ def prompt_scoring_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def by_dimension_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each declared dimension how many of all high-quality proposals it has; dimensions without one stay."""
-    return selection.by_dimension(_high(spark, sf_dir)).select("dimension", F.size("members").cast("long").alias("n"))
+    return selection.dimension_sizes(_high(spark, sf_dir)).select("dimension", "n")
 
 
 def papers_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

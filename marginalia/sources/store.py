@@ -4,18 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _shared_dir(spark: SparkSession) -> str:
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="marginalia-")
+
+
+def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names; where none is named, a temporary one in local mode, and an error elsewhere."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="marginalia-")
+    return _own_dir()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, computed once and kept by a reliable checkpoint in the shared folder; partitions and their order stay."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
+    return rows.checkpoint(eager=True)
 
 
 class StageStore:
@@ -23,7 +37,7 @@ class StageStore:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = root or f"{_shared_dir(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
+        self.root = root or f"{shared_dir(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
 
     def path(self, stage: str) -> str:
         return f"{self.root}/{stage}"
