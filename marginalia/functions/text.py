@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.coercion import compact
+
 #: White space at either end, as Python's str.strip() sees it.
 _ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
@@ -49,6 +51,20 @@ def spaced_json(text: Column) -> Column:
     return written(text)
 
 
+def extended(record: Column, more: Column) -> Column:
+    """A JSON object with the members of another one, compact: a name that is there keeps its place and gets the new value.
+
+    No built-in function merges objects whose names aren't known before.
+    """
+
+    @F.pandas_udf("string")
+    def merged(records: pd.Series, others: pd.Series) -> pd.Series:
+        pairs = ((json.loads(a), json.loads(b)) for a, b in zip(records, others))
+        return pd.Series([compact({**a, **b}) for a, b in pairs], dtype=object)
+
+    return merged(record, more)
+
+
 def money(x: Column) -> Column:
     """Dollars with four decimals, or n/a."""
     return F.coalesce(F.concat(F.lit("$"), F.regexp_replace(F.format_number(x, 4), ",", "")), F.lit("n/a"))

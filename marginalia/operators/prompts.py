@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import compact_json, render, spaced_json
+from marginalia.functions.text import compact_json, extended, render, spaced_json
 from marginalia.plans import fixed_values as V
 
 
@@ -65,11 +65,16 @@ def scoring_pass(paper: Column, text: Column, dimension: Column, number: int) ->
     return messages(F.lit(V.SCORING_SYSTEM), scoring_user_ordered(paper, text, dimension, rubric, context))
 
 
-#: The order in which a proposal's fields stand in the critic's prompt: as generated, then as added. A model's own order isn't kept.
-PROPOSAL_FIELDS = ("id", "dimension", "text", "persona", "importance", "specificity", "actionability", "uniqueness", "judge_disagreement", "composite")
+#: The order in which a proposal's fields stand in the critic's prompt where the model's own reply (record) isn't at hand: as generated, then as added.
+PROPOSAL_FIELDS = ("id", "dimension", "text", "persona", "original_text", "importance", "specificity", "actionability", "uniqueness", "judge_disagreement", "composite")
+#: Of these the ones that scoring adds.
+SCORE_FIELDS = PROPOSAL_FIELDS[5:]
 
 
 def proposal_json(columns: list[str]) -> Column:
+    """The whole proposal: its record, with all that the model said in the model's order, and the scores; else the known fields."""
+    if "record" in columns:
+        return extended(F.col("record"), compact_json(*(F.col(c) for c in SCORE_FIELDS if c in columns)))
     return compact_json(*(F.col(c) for c in PROPOSAL_FIELDS if c in columns))
 
 
@@ -89,6 +94,12 @@ def listed(fields: list[str], order: str, when: Column | None = None) -> Column:
     return F.to_json(F.transform(F.array_sort(rows), lambda x: x["_row"]), {"ignoreNullFields": "false"})
 
 
+def listed_records(record: str, order: str) -> Column:
+    """An aggregate: the rows' JSON objects in order, as one JSON list."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.col(record).alias("_row"))))
+    return F.concat(F.lit("["), F.array_join(F.transform(rows, lambda x: x["_row"]), ","), F.lit("]"))
+
+
 def meta_user(by_dimension: Column, strongest: Column, unique: Column, critiques: Column, high_quality: Column) -> Column:
     """All five are JSON; each is written again in the spaced, ASCII form."""
     return render(V.META_PROMPT, by_dimension=spaced_json(by_dimension), strongest=spaced_json(strongest), unique=spaced_json(unique), critiques=spaced_json(critiques), high_quality=spaced_json(high_quality))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from functools import cache
+from functools import cache, cached_property
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +34,61 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+class Ledger:
+    """Replies of calls, each committed as it comes: a file under the hash of what was asked.
+
+    Tasks read it before they ask, so that a task that fails amid its calls, or a run that starts anew, asks only what has no
+    reply yet. A reply is written beside its place and moved there, so none is half there; of two tasks that ask the same at
+    once the last one's stays. Goes to the workers by its URI, which pyarrow must be able to open.
+    """
+
+    def __init__(self, uri: str):
+        self.uri = uri if "://" in uri or uri.startswith(("file:", "/")) else os.path.abspath(uri)
+
+    @cached_property
+    def _place(self) -> tuple:
+        return fs.FileSystem.from_uri(self.uri)
+
+    def __getstate__(self) -> dict:
+        return {"uri": self.uri}
+
+    def _path(self, key: str) -> str:
+        return f"{self._place[1]}/{key[:2]}/{key}"
+
+    def get(self, key: str) -> str | None:
+        try:
+            with self._place[0].open_input_stream(self._path(key)) as f:
+                return f.read().decode()
+        except FileNotFoundError:
+            return None
+
+    def put(self, key: str, reply: str) -> None:
+        system, path = self._place[0], self._path(key)
+        system.create_dir(os.path.dirname(path))
+        beside = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(beside) as f:
+            f.write(reply.encode())
+        system.move(beside, path)
+
+    def drop(self) -> None:
+        system, path = self._place
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
+
+
 class StageStore:
-    """One folder for each stage. Rows are named by key columns; what is there already isn't asked for again."""
+    """One folder for each stage. Rows are named by key columns; what is there already isn't asked for again.
+
+    While a stage runs, its replies are in a ledger beside it, one by one; once the stage is written the ledger goes.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or f"{shared_dir(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
 
+    def ledger(self, stage: str) -> Ledger:
+        return Ledger(f"{self.root}/{stage}-ledger")
+
     def path(self, stage: str) -> str:
         return f"{self.root}/{stage}"
 
@@ -49,15 +99,25 @@ class StageStore:
         return self.spark.read.schema(schema).parquet(self.path(stage)) if there else None
 
     def once(self, stage: str, requests: DataFrame, keys: list[str], run) -> DataFrame:
-        """run(requests not yet answered), appended to the stage; then all answers to the requests."""
+        """run(requests not yet answered), appended to the stage; then all answers to the requests.
+
+        run keeps the keys and prompt_hash. Prompts are built once in a new stage; in one that has answers, once to see what
+        is new and once to ask it.
+        """
         asked = requests.withColumn("prompt_hash", F.sha2(F.concat_ws("\0", "model", "system", "user"), 256))
         names = [*keys, "prompt_hash"]
-        answers = run(asked.limit(0))
-        before = self._found(stage, answers.schema)
-        todo = asked if before is None else asked.join(before.select(*names), names, "left_anti")
-        run(todo).write.mode("append").parquet(self.path(stage))
-        done = self.spark.read.schema(answers.schema).parquet(self.path(stage))
-        return done.join(asked.select(*names), names, "left_semi").dropDuplicates(names).drop("prompt_hash")
+        schema = run(asked.limit(0)).schema
+        before = self._found(stage, schema)
+        if before is None:
+            run(asked).write.mode("append").parquet(self.path(stage))
+            done = self.spark.read.schema(schema).parquet(self.path(stage))
+        else:
+            wanted = self.keep(f"{stage}-asked", asked.select(*names))
+            new = wanted.join(before.select(*names), names, "left_anti").distinct()
+            run(asked.join(new, names, "left_semi")).write.mode("append").parquet(self.path(stage))
+            done = self.spark.read.schema(schema).parquet(self.path(stage)).join(wanted, names, "left_semi")
+        self.ledger(stage).drop()
+        return done.dropDuplicates(names).drop("prompt_hash")
 
     def keep(self, name: str, rows: DataFrame) -> DataFrame:
         """rows, written once and read back: what many branches read is neither computed again nor planned again."""
