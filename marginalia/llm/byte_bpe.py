@@ -17,20 +17,21 @@ rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import os
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marginalia.llm.common import SPACE, side_by_side, span_hashes, table, utf8
 
 #: Bytes of text that are encoded side by side.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: Parts that a worker remembers (about 40 bytes each), before it forgets them all.
-CACHE = 1_500_000
+CACHE = 1_000_000
 #: White space beyond ASCII, as the numbers of its UTF-8 bytes.
 WIDE_SPACE = [int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -98,7 +99,32 @@ def parts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return a, starts, np.r_[starts[1:], len(a)][: len(starts)], owner
 
 
-class Codec:
+class Table:
+    """The bytes of each id, by the reversed alphabet."""
+
+    def __init__(self, path: str):
+        letters = alphabet()
+        self.byte_of = {c: b for b, c in enumerate(letters)}
+        self.spelled = {"".join([letters[b] for b in t]): r for t, r in read_ranks(path).items()}
+        bytes_of = [b""] * (max(self.spelled.values()) + 1)
+        for token, i in self.spelled.items():
+            bytes_of[i] = bytes([self.byte_of[c] for c in token])
+        self.width = np.array([len(b) for b in bytes_of])
+        self.tokens = Runs(np.uint8)
+        self.tokens.add(np.frombuffer(b"".join(bytes_of), np.uint8), self.width)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.width) and self.width[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        return self.tokens.take(ids)[0].tobytes()
+
+    def pieces(self, ids: np.ndarray) -> list[str]:
+        """Each token's text; a character that several tokens share is the last one's, bytes of no character are U+FFFD."""
+        reader = codecs.getincrementaldecoder("utf-8")("replace")
+        return [reader.decode(self.decode(ids[i : i + 1]), i == len(ids) - 1) for i in range(len(ids))]
+
+
+class Codec(Table):
     """Encodes parts of texts and keeps their ids under the parts' hashes.
 
     What ids a hash stands for is not trusted: they are decoded, and a text that they don't give is encoded as it is.
@@ -107,19 +133,12 @@ class Codec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
+        super().__init__(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ranks, letters = read_ranks(path), alphabet()
-        spelled = {t: "".join([letters[b] for b in t]) for t in ranks}
-        merges = [(spelled[t[:i]], spelled[t[i:]]) for t in sorted(ranks, key=ranks.__getitem__) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.tokenizer = Tokenizer(models.BPE(vocab={spelled[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        of = self.spelled
+        merges = [(t[:i], t[i:]) for t in sorted(of, key=of.__getitem__) for i in range(1, len(t)) if t[:i] in of and t[i:] in of]
+        self.tokenizer = Tokenizer(models.BPE(vocab=of, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        byte_of = {c: b for b, c in enumerate(letters)}
-        bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, i in self.tokenizer.get_vocab().items():
-            bytes_of[i] = bytes([byte_of[c] for c in token])
-        self.width = np.array([len(b) for b in bytes_of])
-        self.tokens = Runs(np.uint8)
-        self.tokens.add(np.frombuffer(b"".join(bytes_of), np.uint8), self.width)
         self._forget()
 
     def _forget(self) -> None:
@@ -129,7 +148,7 @@ class Codec:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
-        """Encodes new parts: those that white space opens and none closes stand end to end, as the pattern cuts between them."""
+        """Encodes new parts, whose hashes rise: those that white space opens and none closes stand end to end, as the pattern cuts between them."""
         runs = np.array([SPACE[p[0]] and not p.decode()[-1].isspace() for p in parts], bool)
         for own, joined in ((np.flatnonzero(runs), True), (np.flatnonzero(~runs), False)):
             for group in side_by_side([parts[i] for i in own]):
@@ -141,10 +160,9 @@ class Codec:
                     found = self._plain(group)
                     ids, lengths = np.concatenate(found), np.array([len(f) for f in found])
                 self.parts.add(ids, lengths)
-            hashed = np.concatenate([self.hashes, hashes[own]])
-            order = np.argsort(hashed, kind="stable")
-            self.numbers = np.concatenate([self.numbers, np.arange(self.parts.n - len(own), self.parts.n)])[order]
-            self.hashes = hashed[order]
+            at = np.searchsorted(self.hashes, hashes[own])
+            self.hashes = np.insert(self.hashes, at, hashes[own])
+            self.numbers = np.insert(self.numbers, at, np.arange(self.parts.n - len(own), self.parts.n))
 
     def _numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number kept under each hash, and whether there is one."""
@@ -185,27 +203,16 @@ class Codec:
         cuts = np.cumsum(counts)[:-1]
         return tuple(np.split((x - np.repeat(base, counts)).astype(np.int32), cuts) for x in (starts, ends))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.width) and self.width[ids].all()):
-            raise ValueError("an id is not in the vocabulary")
-        return self.tokens.take(ids)[0].tobytes()
-
-    def pieces(self, ids: np.ndarray) -> list[str]:
-        """Each token's text; a character that several tokens share is the last one's, bytes of no character are U+FFFD."""
-        import codecs
-
-        reader = codecs.getincrementaldecoder("utf-8")("replace")
-        return [reader.decode(self.decode(ids[i : i + 1]), i == len(ids) - 1) for i in range(len(ids))]
 
-
-_CODECS: dict[str, Codec] = {}
+@cache
+def table_of(path: str) -> Table:
+    """This worker's table of a file of ranks."""
+    return Table(path)
 
 
+@cache
 def codec(path: str) -> Codec:
-    """This worker's codec of a file of ranks."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return Codec(path)
 
 
 def valid(text: bytes) -> bool:
@@ -243,7 +250,7 @@ def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
     names = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches):
-        own = codec(ranks)
+        own = table_of(ranks)
         for b in batches:
             column = b.column("ids")
             ids, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -255,28 +262,27 @@ def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
     return kept.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def _digests(encoded: DataFrame) -> DataFrame:
-    """Of ids their number and hash as little-endian unsigned 32-bit integers, and the number of tokens that end within a character."""
+def _digests(encoded: DataFrame, ranks: str) -> DataFrame:
+    """Of each row's ids their number, their hash as little-endian unsigned 32-bit integers, that of the bytes they decode to, and the number of tokens that begin within a character."""
 
     def run(batches):
+        own = table_of(ranks)
         for b in batches:
             column, starts, ends = b.column("ids"), b.column("starts").values.to_numpy(), b.column("ends").values.to_numpy()
-            ids, cuts = column.values.to_numpy(), column.offsets.to_numpy()
-            rows = []
+            ids, cuts, rows = column.values.to_numpy(), column.offsets.to_numpy(), []
             for i, j in zip(cuts, cuts[1:]):
                 shared = int((starts[i + 1 : j] < ends[i : j - 1]).sum()) if j > i else 0
-                rows.append((int(j - i), hashlib.sha256(ids[i:j].astype("<u4").tobytes()).hexdigest(), shared))
-            columns = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), b.column("decoded"), pa.array(columns[2], pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded", "n_shared"])
+                rows.append((int(j - i), hashlib.sha256(ids[i:j].astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids[i:j])).hexdigest(), shared))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_shared"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded binary, n_shared long")
+    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_shared long")
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode_documents(table(spark, sf_dir, "documents"), ranks)
-    digests = _digests(decode_documents(encoded, ranks))
-    return digests.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_shared")
+    return _digests(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks)
