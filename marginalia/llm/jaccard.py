@@ -34,6 +34,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia.llm.common import mixed, partitions, saved, table, utf8, window_hashes, word_hashes
 from marginalia.llm.components import components
@@ -165,9 +166,9 @@ def _index(buckets: int):
         seen: set[int] = set()  # copies within a task are indexed once
         for b in batches:
             sig, who, slack, rows, held = [], [], [], [], 0
-            for doc_id, g in zip(b.column(0).to_pylist(), shingles(b.column(1).to_pylist())):
+            for doc_id, text, g in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), shingles(b.column(1).to_pylist())):
                 name = node(g)
-                rows.append((NO_ID if doc_id is None else doc_id, len(g), name))
+                rows.append((doc_id, len(g), name, text))
                 if not len(g) or name in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -188,7 +189,7 @@ def _index(buckets: int):
     return run
 
 
-#: Rows of three kinds: a document (doc_id, n, node); a pair that shares cheap signatures (a, b, how many, segments that a and that b
+#: Rows of three kinds: a document (doc_id, n, node, its text's hash); a pair that shares cheap signatures (a, b, how many, segments that a and that b
 #: can lose); a hot signature of a set (signature, node, segments that it can lose, whether in the scheme's own band).
 ROWS = "kind long, v0 long, v1 long, v2 long, v3 long, v4 long"
 
@@ -205,7 +206,7 @@ def _pairs_within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _shared(group: pa.Table) -> pa.Table:
     """Of a bucket's signatures those that several sets share, as pairs or as hot ones; and the documents that came along."""
-    docs = np.concatenate([np.frombuffer(x, np.int64) for x in group["docs"].to_pylist()]).reshape(-1, 3)
+    docs = np.concatenate([np.frombuffer(x, np.int64) for x in group["docs"].to_pylist()]).reshape(-1, 4)
     sig = np.concatenate([np.frombuffer(x, np.uint32) for x in group["sigs"].to_pylist()])
     who = np.concatenate([np.frombuffer(x, np.int64) for x in group["nodes"].to_pylist()])
     slack = np.concatenate([np.frombuffer(x, np.int16) for x in group["slack"].to_pylist()])
@@ -230,7 +231,7 @@ def _shared(group: pa.Table) -> pa.Table:
     names = sig.astype(np.int64) << 20 | np.int64(group["bucket"][0].as_py() & 0xFFFFF)
     blank = lambda k: np.zeros(k, np.int64)
     parts = [
-        [np.full(len(docs), 0), docs[:, 0], docs[:, 1], docs[:, 2], blank(len(docs)), blank(len(docs))],
+        [np.full(len(docs), 0), docs[:, 0], docs[:, 1], docs[:, 2], docs[:, 3], blank(len(docs))],
         [np.full(len(pairs), 1), pairs[:, 0], pairs[:, 1], count, pairs[:, 2], pairs[:, 3]],
         [np.full(hot.sum(), 2), names[hot], who[hot], slack[hot] >> 1, slack[hot] & 1, blank(hot.sum())],
     ]
@@ -239,13 +240,19 @@ def _shared(group: pa.Table) -> pa.Table:
 
 
 def _packed(batches):
-    pack = zstandard.ZstdCompressor(level=1)
+    """Texts (doc_id, text, its hash), packed; rows that repeat within a task are sent once."""
+    pack, seen = zstandard.ZstdCompressor(level=1), set()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
+        if len(seen) > 1_000_000:
+            seen.clear()
+        names = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
+        keep = [i for i, n in enumerate(names) if n not in seen and not seen.add(n)]
+        b = b.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([pack.compress(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "hash", "z"])
 
 
 def _named(batches):
-    """Texts (doc_id, z, node) whose set is that node; another text under the same doc_id is dropped."""
+    """Texts (z, node) whose set is that node; another text under the same doc_id and hash is dropped."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
         own = map(node, shingles([unpack.decompress(z) for z in b.column("z").to_pylist()]))
@@ -365,35 +372,82 @@ def _families(group: pa.Table) -> pa.Table:
     return pa.table({"a": root[moved], "b": names[moved]})
 
 
+def starred(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, comp: what links with chosen sets connect among the sets of hot signatures. met: sig, node; texts: node, z.
+
+    In each round every set is compared with one other set of one of its signatures that isn't in its component, so a round has
+    a row for each set. Rounds end when the components fit one block, or less than a tenth of them has gone; blocks do
+    the rest exactly.
+    """
+    comp, turn = saved(met.select("node").distinct().withColumn("comp", F.col("node"))), 0
+    left = comp.count()
+    x, y = (texts.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
+    while left > BLOCK_SETS:
+        named = met.join(comp, "node")
+        chosen = named.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "comp")).alias("r"))
+        other = named.join(chosen, "sig").where(F.col("comp") != F.col("r.comp")).groupBy("node").agg(F.min("r").alias("r"))
+        pairs = other.select(F.col("r.node").alias("a"), F.col("node").alias("b"))
+        found = pairs.join(x, "a").join(y, "b").sortWithinPartitions("a").select("a", "b", "za", "zb").mapInArrow(_linked, "a long, b long")
+        roots = components(comp.where("comp <> node").select(F.col("comp").alias("a"), F.col("node").alias("b")).union(found))
+        comp = saved(comp.drop("comp").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp")))
+        before, left, turn = left, comp.select("comp").distinct().count(), turn + 1
+        if left > 0.9 * before:
+            break
+    return comp
+
+
+def dealt(own: DataFrame) -> DataFrame:
+    """root, i, j, block, node, z: the sets of families (root, comp, node, n, z) for each pair of blocks that may hold an unknown link.
+
+    A component that is larger than a block has blocks of its own, which aren't compared with each other; the others share
+    blocks. Families of one component are done.
+    """
+    several = own.groupBy("root").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("root")
+    own = own.join(several, "root", "left_semi")
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS))
+    large = own.groupBy("root", "comp").agg(count.alias("k")).where("k > 1").select("root", "comp", F.lit(True).alias("large"))
+    own = own.join(large, ["root", "comp"], "left").withColumn("part", F.when(F.col("large"), F.col("comp")))
+    parts = own.groupBy("root", "part").agg(count.alias("k"))
+    order = Window.partitionBy("root").orderBy("part")  # a row for each block at most
+    parts = parts.withColumn("first", F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
+    listed = F.array_sort(F.collect_list(F.struct("first", "part", "k")))
+    plan = parts.groupBy("root").agg(F.flatten(F.transform(listed, lambda s: F.array_repeat(s["part"], s["k"].cast("int")))).alias("parts"))
+    mine = parts.select(F.col("root").alias("r"), F.col("part").alias("p"), "k", "first")
+    own = own.join(mine, (F.col("root") == F.col("r")) & F.col("part").eqNullSafe(F.col("p"))).join(plan, "root")
+    own = own.withColumn("block", F.col("first") + F.pmod(F.xxhash64("node"), "k"))
+    open_to = F.filter(F.transform("parts", lambda p, i: F.when(p.isNull() | F.col("part").isNull() | (p != F.col("part")), i.cast("long"))), lambda i: i.isNotNull())
+    own = own.withColumn("other", F.explode(open_to))
+    return own.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "z")
+
+
 def hot_links(groups: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """(a, b): connects the sets of each hot signature that links connect. groups: sig, node; texts: node, z; sizes: node, n."""
     spark = groups.sparkSession
     buckets = partitions(spark)
     mine = saved(texts.join(groups.select("node").distinct(), "node", "left_semi").join(sizes, "node"))
-    dealt = mine.select("node", "z").mapInArrow(partial(_elements, buckets=buckets), "bucket long, grams binary, nodes binary")
-    alone = dealt.groupBy("bucket").applyInArrow(_alone, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
-    able = mine.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * DOWN <= F.col("n") * (DOWN - UP)).drop("alone")
+    elements = mine.select("node", "z").mapInArrow(partial(_elements, buckets=buckets), "bucket long, grams binary, nodes binary")
+    alone = elements.groupBy("bucket").applyInArrow(_alone, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
+    able = saved(mine.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * DOWN <= F.col("n") * (DOWN - UP)).drop("alone"))
     met = saved(groups.join(able.select("node"), "node", "left_semi"))
+    comp = starred(met, able)
     least = met.groupBy("sig").agg(F.min("node").alias("a"))
     families = components(met.join(least, "sig").where("node > a").select("a", F.col("node").alias("b")).distinct())
-    own = families.join(mine, "node")
-    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("blocks")
-    own = own.join(own.groupBy("root").agg(count), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = own.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "z")
-    return placed.groupBy("root", "i", "j").applyInArrow(_families, "a long, b long")
+    own = families.join(comp, "node").join(able, "node")
+    links = dealt(own).groupBy("root", "i", "j").applyInArrow(_families, "a long, b long")
+    return comp.where("comp <> node").select(F.col("comp").alias("a"), F.col("node").alias("b")).union(links)
 
 
 def ngram_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), utf8("text").alias("text"))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
     blobs = docs.mapInArrow(_index(partitions(spark)), BLOB)
     rows = saved(blobs.groupBy("bucket").applyInArrow(_shared, ROWS))
-    found = rows.where("kind = 0").select(F.col("v0").alias("doc_id"), F.col("v1").alias("n"), F.col("v2").alias("node"))
+    found = rows.where("kind = 0").select(F.col("v0").alias("doc_id"), F.col("v1").alias("n"), F.col("v2").alias("node"), F.col("v3").alias("hash"))
     pairs = rows.where("kind = 1").groupBy(F.col("v0").alias("a"), F.col("v1").alias("b")).agg(F.sum("v2").alias("shared"), F.max("v3").alias("lose_a"), F.max("v4").alias("lose_b"))
     hot = rows.where("kind = 2").select(F.col("v0").alias("sig"), F.col("v1").alias("node"), F.col("v2").alias("lose"), F.col("v3").alias("own"))
-    first = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    first = found.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("n").alias("n")).select("node", "own.*", "n")
 
     # A linked pair shares at least so many signatures as either set can lose, and one; less its hot ones, which weren't paired.
     heat = saved(hot.groupBy("node", "own").agg(F.count(F.lit(1)).alias("k"), F.min("lose").alias("least")))
@@ -405,9 +459,9 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
     # A set that can lose all its hot signatures of a scheme is found without them; others meet in them.
     groups = saved(hot.join(heat.where("k > least").select("node", "own"), ["node", "own"], "left_semi").select("sig", "node"))
 
-    needed = near.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct().join(first.select("node", "doc_id"), "node")
-    packed = docs.mapInArrow(_packed, "doc_id long, z binary")
-    texts = saved(packed.join(needed.hint("shuffle_hash"), "doc_id").mapInArrow(_named, "node long, z binary").dropDuplicates(["node"]))
+    needed = near.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct().join(first.select("node", "doc_id", "hash"), "node")
+    packed = docs.mapInArrow(_packed, "doc_id long, hash long, z binary")
+    texts = saved(packed.join(needed.hint("shuffle_hash"), ["doc_id", "hash"]).mapInArrow(_named, "node long, z binary").dropDuplicates(["node"]))
     x, y = (texts.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
     links = near.join(x, "a").join(y, "b").sortWithinPartitions("b").select("a", "b", "za", "zb").mapInArrow(_linked, "a long, b long")
     roots = components(links.union(hot_links(groups, texts, first.select("node", "n"))))

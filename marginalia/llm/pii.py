@@ -3,11 +3,13 @@
 Base entities (emails, IP addresses, card and phone numbers) are found by regular expressions with checks. They are the
 seeds: the two words before a seed (one, if the text has no more) are a lexical pattern, in which an instance stands as #.
 Instances are whole entities: a number as international phones are written, 12 to 19 digits in groups, or else a
-word that holds a digit or @, without the punctuation around it. Patterns and instances form a graph, and in each of ROUNDS rounds a
+word that holds a digit or @, without the punctuation around it. Patterns and instances form a graph, and in each round a
 pattern's confidence is the mean score of its distinct labelled instances: seeds have 1, instances of an entity's full shape that
-its check refuses have 0, others are left out until a pattern has reached them (patterns of less than SUPPORT summed
-score, or confidence below SURE, count for nothing). An instance's score is the noisy-or of its patterns' confidences. Instances that reach
-SURE are spans of kind `context` wherever they follow one of these patterns and touch no base entity.
+its check refuses have 0, others are left out until a pattern has reached them. Patterns of at least SUPPORT summed
+score and confidence SURE are sure, and stay so with the confidence that made them sure. An instance's score is the noisy-or of
+its sure patterns' confidences, so scores only rise, and rounds go on until no pattern becomes sure. Instances that reach
+SURE are spans of kind `context` wherever they follow a sure pattern and touch no base entity; one with fewer than `least`
+letters and digits (LEAST, a parameter) is none, unless it holds an @: page and list numbers follow many contexts.
 
 Offsets come from the texts between matches (split and extract_all cut alike). The expressions are possessive and look
 behind, so that their time is linear in a text's length however its characters run on; they match what the plain
@@ -56,11 +58,10 @@ INSTANCE = (
 OPENING, CLOSING = r"^[(\[{<\"']+", r"[.,;:!?)\]}>\"']+$"
 #: The full shape of an address or card, or of an international number.
 SHAPED = r"^[0-9]+(?:\.[0-9]+){3}$|^(?:[0-9][\x20-]?){15,18}[0-9]$|^\+[0-9][\x20().0-9-]+[0-9]$"
-ROUNDS = 3
 SUPPORT = 3.0
 SURE = 0.8
-#: A found instance's word has at least so many digits, or an @.
-LEAST_DIGITS = 4
+#: A found instance has at least so many letters and digits, or an @.
+LEAST = 4
 #: Code points of a part of a text that is being redacted.
 PAGE = 4_096
 
@@ -159,15 +160,19 @@ def _instances(text: Column) -> Column:
 
 
 def confident(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges (pattern, value) -> patterns (pattern, confidence) and instances (value, score, seed) after the rounds."""
+    """edges (pattern, value) -> patterns (pattern, confidence) and instances (value, score, seed) once no pattern becomes sure any more."""
     graph = saved(edges.where("pattern <> ''").distinct())
     seeds = graph.select("value").distinct()
     seeds = saved(seeds.select("value", F.when(is_base(F.col("value")), F.lit(1.0)).when(F.col("value").rlike(SHAPED), F.lit(0.0)).alias("known")))
-    scores = seeds.select("value", "known", F.col("known").alias("score"))
-    patterns = None
-    for _ in range(ROUNDS):
+    scores, patterns = seeds.select("value", "known", F.col("known").alias("score")), None
+    while True:
         rated = graph.join(scores, "value").groupBy("pattern").agg(F.sum("score").alias("support"), F.avg("score").alias("confidence"))
-        patterns = saved(rated.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= SURE)).select("pattern", "confidence"))
+        new = rated.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= SURE)).select("pattern", "confidence")
+        new = saved(new if patterns is None else new.join(patterns.select("pattern"), "pattern", "left_anti"))
+        none_new = new.isEmpty()
+        patterns = new if patterns is None else saved(patterns.union(new))
+        if none_new:
+            break
         miss = F.exp(F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999)))))
         reached = graph.join(patterns, "pattern").groupBy("value").agg((F.lit(1.0) - miss).alias("reached"))
         scores = saved(seeds.join(reached, "value", "left").select("value", "known", F.coalesce("known", "reached").alias("score")))
@@ -185,14 +190,14 @@ def _clear_of(found: DataFrame, base: DataFrame) -> DataFrame:
     return rows.where(~F.col("old") & (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("begins") >= F.col("end"), F.lit(True))))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, key (of the text), base and found: arrays of struct<kind,start,end>."""
     text = F.coalesce("text", F.lit(""))
     words = F.when(text.rlike("[0-9@]"), _instances(text))
     rows = saved(docs.select("doc_id", F.xxhash64("text").alias("key"), base_spans(text).alias("base"), words.alias("words")))
     words = rows.where(F.size("words") > 0).select("doc_id", "key", F.explode("words").alias("w")).select("doc_id", "key", "w.*").where("value <> ''")
     patterns, scores = confident(words.select("pattern", "value"))
-    enough = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= LEAST_DIGITS) | F.col("value").contains("@")
+    enough = (F.length(F.regexp_replace("value", r"[^\p{L}\p{N}]", "")) >= least) | F.col("value").contains("@")
     sure = scores.where((F.col("score") >= SURE) & ~F.col("seed")).select("value").where(enough)
     new = words.join(patterns.select("pattern"), "pattern").join(sure, "value").select("doc_id", "key", "start", "end")
     new = saved(new.withColumn("doc_id", F.col("doc_id").cast("string")))

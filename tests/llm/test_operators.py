@@ -421,3 +421,90 @@ def test_registered():
     names = entry.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+def bootstrapped(rows, least=pii.LEAST):
+    """doc_id -> values found by contexts, in plain Python; every instance here is one word, all texts are small."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    seen = []
+    for i, t in rows:
+        words = [m[0] for m in word.finditer(t)]
+        special = [bool(re.search("[0-9@]", w)) for w in words]
+        for k, w in enumerate(words):
+            if special[k]:
+                before = ["#" if special[j] else words[j] for j in range(max(0, k - 2), k)]
+                seen.append((i, " ".join(before).lower(), w.strip(".,;:!?()")))
+    edges = {(p, v) for _, p, v in seen if p and v}
+    known = {v: 1.0 if base(v) == [(kind, 0, len(v)) for kind, _, _ in base(v)] and base(v) else None for _, v in edges}
+    sure, score = {}, dict(known)
+    while True:
+        new = {}
+        for p in {p for p, _ in edges} - set(sure):
+            own = [score[v] for q, v in edges if q == p and score[v] is not None]
+            if sum(own) >= pii.SUPPORT and sum(own) / len(own) >= pii.SURE:
+                new[p] = sum(own) / len(own)
+        if not new:
+            break
+        sure |= new
+        for v in known:
+            if known[v] is None and (c := [sure[p] for p, w in edges if w == v and p in sure]):
+                score[v] = 1 - math.prod(1 - min(x, 0.999) for x in c)
+    out = defaultdict(list)
+    for i, p, v in seen:
+        if p in sure and known[v] is None and (score[v] or 0) >= pii.SURE and ("@" in v or sum(c.isalnum() for c in v) >= least):
+            out[i].append(v)
+    return dict(out)
+
+
+def test_pii_chains_of_contexts_are_followed_to_their_end(spark):
+    rows = [(k, f"mail one{k}@mail.example.com now") for k in range(4)] + [(k, f"mail AB-{120 + k} now") for k in range(4, 8)]
+    for level in range(6):  # each context's instances are those that the one before found
+        rows += [(100 * level + 10 + k, f"level{'x' * level} context{'y' * level} ID-{level}{k}{k} end") for k in range(4)]
+        rows += [(100 * level + 50 + k, f"next{'x' * level} after{'y' * level} ID-{level}{k}{k} end") for k in range(4)]
+        rows += [(100 * level + 70 + k, f"next{'x' * level} after{'y' * level} ID-{level + 1}{k}{k} end") for k in range(4)]
+    rows += [(700 + k, f"level context user{k}@mail.example.com end") for k in range(4)]
+    rows += [(800 + 10 * level + k, f"level{'x' * (level + 1)} context{'y' * (level + 1)} ID-{level + 1}{k}{k}") for level in range(6) for k in range(4)]
+    rows += [(900, "mail 12 now"), (901, "nowhere ID-333 end")]
+    texts = dict(rows)
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["found"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect() if r["found"]}
+    assert got == bootstrapped(rows)
+    assert got[4] == ["AB-124"] and got[873 - 20] == ["ID-633"] and 900 not in got
+    all_of = pii.find_pii(spark.createDataFrame([r for r in rows if "mail" in r[1]], "doc_id long, text string"), least=1).where("doc_id = 900").first()
+    assert len(all_of["found"]) == 1
+
+
+def test_jaccard_of_many_rows_of_one_id(spark):
+    """A row for each text goes on to be compared, whatever ids repeat."""
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(60)]
+    own = rng.choices(words, k=200)
+    texts = [" ".join([*own[:k], f"n{k}", *own[k + 1 :]]) for k in range(30)]
+    for ids in ([None] * 30, [7] * 30, list(range(30))):
+        df = spark.createDataFrame(list(zip(ids, texts)) + [(ids[0], texts[0])] * 40, "doc_id long, text string").repartition(3)
+        got = jaccard.ngram_classes(df).collect()
+        assert len(got) == 70 and {r["n_shingles"] for r in got} == {196}
+        assert {r["component_id"] for r in got} == {ids[0]}
+
+
+@pytest.mark.parametrize("sets", [4, 1024])
+def test_families_of_large_and_small_components(spark, monkeypatch, sets):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+    rng = random.Random(12)
+    words = [f"v{k}" for k in range(200)]
+    shared, rows = rng.choices(words, k=45), []
+    for g in range(5):  # groups of copies that share a passage, but too little to link
+        own = shared + rng.choices(words, k=30)
+        for k in range(rng.choice((3, 25))):
+            new = list(own)
+            new[rng.randrange(len(new))] = rng.choice(words)
+            rows.append((1000 * g + k, " ".join(new)))
+    got = by_id(jaccard.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == classes(rows)
+
+
+def test_rows_of_a_family_grow_with_its_sets(spark):
+    """Links connect a family before blocks are dealt, so that copies send no row there."""
+    for n in (40, 80):
+        own = spark.range(n).select(F.lit(1).cast("long").alias("root"), F.lit(1).cast("long").alias("comp"), F.col("id").alias("node"), F.lit(9).alias("n"), F.lit(b"").alias("z"))
+        assert jaccard.dealt(own).count() == 0
+        assert jaccard.dealt(own.withColumn("comp", F.col("node") % 2)).count() == n
