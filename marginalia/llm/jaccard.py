@@ -10,8 +10,9 @@ enough segments left over for those that a set has no element in: these are not
 
 The pigeonhole gives more than one common segment: a set that has s segments with elements, of which a linked one can spoil
 h (counted from its own size), shares s - h of them. So pairs that share fewer signatures are dropped before any text
-is read. Signatures that more than `HOT` sets share are costly and not paired: a set that can do without its hot ones
-is found by the others. Those that can't (they have many near copies, or a passage that many share) are first rid of
+is read. Signatures that more than `HOT` sets share are costly and not paired: of its hot ones a set leaves out those that
+most sets share, as many as it can lose, and is found by the others. Sets that keep some (they have many near copies, or a
+passage that many share) are first rid of
 all sets of which more than a fifth of the elements is in no other one of them: these link with nothing. The rest falls
 into families, the components of sets and hot signatures. A family is dealt in blocks of bounded size, each pair of blocks
 to one task, which counts all common elements at once and returns what is connected there: at most one row for each set. So
@@ -52,6 +53,8 @@ BLOCK_SETS, BLOCK_GRAMS = 1_024, 1_000_000
 COMMON, COLUMNS = 16, 1_024
 #: Pairs that are counted at once, and signatures that a task holds before it sends them.
 PAIRS, HELD = 1 << 20, 1 << 21
+#: Signatures that a set may be compared under before blocks are dealt.
+PICKS = 3
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -190,7 +193,7 @@ def _index(buckets: int):
 
 
 #: Rows of three kinds: a document (doc_id, n, node, its text's hash); a pair that shares cheap signatures (a, b, how many, segments that a and that b
-#: can lose); a hot signature of a set (signature, node, segments that it can lose, whether in the scheme's own band).
+#: can lose); a hot signature of a set (signature, node, segments that it can lose, whether in the scheme's own band, how many sets have it).
 ROWS = "kind long, v0 long, v1 long, v2 long, v3 long, v4 long"
 
 
@@ -233,7 +236,7 @@ def _shared(group: pa.Table) -> pa.Table:
     parts = [
         [np.full(len(docs), 0), docs[:, 0], docs[:, 1], docs[:, 2], docs[:, 3], blank(len(docs))],
         [np.full(len(pairs), 1), pairs[:, 0], pairs[:, 1], count, pairs[:, 2], pairs[:, 3]],
-        [np.full(hot.sum(), 2), names[hot], who[hot], slack[hot] >> 1, slack[hot] & 1, blank(hot.sum())],
+        [np.full(hot.sum(), 2), names[hot], who[hot], slack[hot] >> 1, slack[hot] & 1, np.repeat(n, n)[hot]],
     ]
     cells = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)]
     return pa.table(cells, names=[x.split()[0] for x in ROWS.split(", ")])
@@ -375,25 +378,28 @@ def _families(group: pa.Table) -> pa.Table:
 def starred(met: DataFrame, texts: DataFrame) -> DataFrame:
     """node, comp: what links with chosen sets connect among the sets of hot signatures. met: sig, node; texts: node, z.
 
-    In each round every set is compared with one other set of one of its signatures that isn't in its component, so a round has
-    a row for each set. Rounds end when the components fit one block, or less than a tenth of them has gone; blocks do
-    the rest exactly.
+    A set picks one of its signatures a round, the least under a hash of the round, so near copies pick alike; of those that
+    picked one, one is compared with all others, and what links with it is held by it and takes no part any more. So a
+    round compares each set once at most. Rounds end when what is left fits one block or hardly shrinks, or picks are
+    used up; blocks do the rest exactly.
     """
-    comp, turn = saved(met.select("node").distinct().withColumn("comp", F.col("node"))), 0
-    left = comp.count()
+    picks = saved(met.groupBy("node").agg(*(F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig"))["sig"].alias(f"pick{turn}") for turn in range(PICKS))))
+    comp, alive, left = picks.select("node", F.col("node").alias("comp")), picks, picks.count()
     x, y = (texts.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
-    while left > BLOCK_SETS:
-        named = met.join(comp, "node")
-        chosen = named.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "comp")).alias("r"))
-        other = named.join(chosen, "sig").where(F.col("comp") != F.col("r.comp")).groupBy("node").agg(F.min("r").alias("r"))
-        pairs = other.select(F.col("r.node").alias("a"), F.col("node").alias("b"))
-        found = pairs.join(x, "a").join(y, "b").sortWithinPartitions("a").select("a", "b", "za", "zb").mapInArrow(_linked, "a long, b long")
-        roots = components(comp.where("comp <> node").select(F.col("comp").alias("a"), F.col("node").alias("b")).union(found))
-        comp = saved(comp.drop("comp").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp")))
-        before, left, turn = left, comp.select("comp").distinct().count(), turn + 1
-        if left > 0.9 * before:
+    for turn in range(PICKS):
+        if left <= BLOCK_SETS:
             break
-    return comp
+        pick = F.col(f"pick{turn}")
+        heads = alive.groupBy(pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("a"))
+        pairs = alive.join(heads, pick == heads["pick"]).select("a", F.col("node").alias("b")).where("a <> b")
+        found = saved(pairs.join(x, "a").join(y, "b").sortWithinPartitions("a").select("a", "b", "za", "zb").mapInArrow(_linked, "a long, b long"))
+        comp = comp.join(found, F.col("comp") == F.col("b"), "left").select("node", F.coalesce("a", "comp").alias("comp"))
+        alive = alive.join(found, F.col("node") == F.col("b"), "left_anti")
+        gone = found.count()
+        if gone < left / 4:
+            break
+        left -= gone
+    return saved(comp)
 
 
 def dealt(own: DataFrame) -> DataFrame:
@@ -446,18 +452,21 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
     rows = saved(blobs.groupBy("bucket").applyInArrow(_shared, ROWS))
     found = rows.where("kind = 0").select(F.col("v0").alias("doc_id"), F.col("v1").alias("n"), F.col("v2").alias("node"), F.col("v3").alias("hash"))
     pairs = rows.where("kind = 1").groupBy(F.col("v0").alias("a"), F.col("v1").alias("b")).agg(F.sum("v2").alias("shared"), F.max("v3").alias("lose_a"), F.max("v4").alias("lose_b"))
-    hot = rows.where("kind = 2").select(F.col("v0").alias("sig"), F.col("v1").alias("node"), F.col("v2").alias("lose"), F.col("v3").alias("own"))
+    hot = rows.where("kind = 2").select(F.col("v0").alias("sig"), F.col("v1").alias("node"), F.col("v2").alias("lose"), F.col("v3").alias("own"), F.col("v4").alias("sets"))
     first = found.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("n").alias("n")).select("node", "own.*", "n")
 
     # A linked pair shares at least so many signatures as either set can lose, and one; less its hot ones, which weren't paired.
-    heat = saved(hot.groupBy("node", "own").agg(F.count(F.lit(1)).alias("k"), F.min("lose").alias("least")))
-    every = heat.groupBy("node").agg(F.sum("k").alias("k"))
+    every = hot.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     for x in "ab":
         pairs = pairs.join(every.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}")), x, "left")
     cold = F.greatest(F.col("lose_a") - F.coalesce("k_a", F.lit(0)), F.col("lose_b") - F.coalesce("k_b", F.lit(0))) + 1
     near = saved(pairs.where(F.col("shared") >= cold).select("a", "b"))
-    # A set that can lose all its hot signatures of a scheme is found without them; others meet in them.
-    groups = saved(hot.join(heat.where("k > least").select("node", "own"), ["node", "own"], "left_semi").select("sig", "node"))
+    # What a set can lose it needn't be found by: of its hot signatures the ones that most sets share. Of all that two linked sets
+    # share, the one with the fewest sets comes before more than either can lose, so both keep it.
+    mine = Window.partitionBy("node", "own")
+    place = F.row_number().over(mine.orderBy("sets", "sig"))
+    kept = hot.select("sig", "node", place.alias("place"), (F.count(F.lit(1)).over(mine) - F.min("lose").over(mine)).alias("needs"))
+    groups = saved(kept.where("place <= needs").select("sig", "node"))
 
     needed = near.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct().join(first.select("node", "doc_id", "hash"), "node")
     packed = docs.mapInArrow(_packed, "doc_id long, hash long, z binary")
