@@ -49,6 +49,13 @@ class Selection:
         self.critiques: DataFrame | None = None
         self.original_high_quality: DataFrame | None = None
 
+    @classmethod
+    def of(cls, ranked_rows: DataFrame, top_k: int) -> Selection:
+        """From rows that are ranked already."""
+        own = cls.__new__(cls)
+        own.top_k, own.ranked, own.critiques, own.original_high_quality = check_top_k(top_k), ranked_rows, None, None
+        return own
+
     @property
     def sorted_by_composite(self) -> DataFrame:
         return self.ranked

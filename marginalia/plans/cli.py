@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None, stdin=None) -> int:
         p.error("--paste cannot be used together with --file")
     text = resolve(args.file, stdin)
     if not text.strip():
-        print("No paper text provided (file was empty or stdin had no content).", file=sys.stderr)
+        print(V.NO_TEXT, file=sys.stderr)
         return 1
     spark = SparkSession.builder.appName("marginalia").getOrCreate()
     try:
@@ -52,12 +52,12 @@ def main(argv: list[str] | None = None, stdin=None) -> int:
         done = Reviewer(spark, backend, counter).review(paper_from_text(spark, text), args.agents, args.model, args.top_k)
         report = done.meta_review.first()["meta_review"]
     except ValueError as e:
-        print(f"Configuration Error: {e}", file=sys.stderr)
+        print(V.CONFIGURATION_ERROR.format(fault=e), file=sys.stderr)
         return 1
     except PythonException as e:
         if not (fault := value_fault(str(e))):
             raise
-        print(f"Configuration Error: {fault}", file=sys.stderr)
+        print(V.CONFIGURATION_ERROR.format(fault=fault), file=sys.stderr)
         return 1
     print(report)
     if not args.no_cost_estimate:
