@@ -420,7 +420,7 @@ def test_registered():
 
     names = entry.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
 
 
 def bootstrapped(rows, least=pii.LEAST):
