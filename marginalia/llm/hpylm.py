@@ -41,7 +41,7 @@ STRENGTH, STRENGTH0 = 0.1, 20.0
 #: Tokens that a task counts before it sends them.
 COUNTED = 1 << 20
 #: Blocks of documents are scored in so many turns, so that requests and answers of a part only are on disk at once.
-WAVES = 2
+WAVES = 4
 #: Bytes of text of a block, about.
 BLOCK_BYTES = 16 << 20
 SEED = 5
