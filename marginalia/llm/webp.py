@@ -1,7 +1,7 @@
 """A lossless WebP codec for many small images at once (the VP8L bitstream in a RIFF container).
 
-All images of a call are decoded side by side: each step reads the next pixel of every image that is not yet complete, so
-that numpy's cost of a call is shared. The decoder knows prefix codes (simple and coded), groups of codes chosen by an
+All images of a call are coded side by side: prefix codes are written and read for all of them at once, and each step of
+decoding reads the next pixel of every image that is not yet complete, so that numpy's cost of a call is shared. The decoder knows prefix codes (simple and coded), groups of codes chosen by an
 entropy image, back-references with the short-distance table, the colour cache, and the inverse transforms:
 predictor, cross-colour, subtract-green and palette with packed indices. The encoder writes literals with one group of
 prefix codes for each image, fitted to its bytes. Images of few colours for their size are written with back-references, once
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 
@@ -100,14 +101,36 @@ def lookup(lengths: np.ndarray) -> np.ndarray:
     """For the next bits, as many as the longest code has, symbol << 4 | length. A single symbol takes no bits."""
     used = np.flatnonzero(lengths)
     if len(used) == 1:
-        return np.array([int(used[0]) << 4], np.int32)
+        return np.array([int(used[0]) << 4], np.uint16)
     used = used[np.argsort(lengths[used], kind="stable")]
     own = lengths[used]
     most = int(own.max(initial=0))
     share = 1 << (most - own)
     if not len(used) or most > LONGEST or share.sum() != 1 << most:
         raise ValueError("a prefix code is not complete")
-    return np.repeat(used << 4 | own, share).astype(np.int32)[reversed_bits(most)]
+    return np.repeat(used << 4 | own, share).astype(np.uint16)[reversed_bits(most)]
+
+
+def lookups(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lookup of each row of [rows, symbols] lengths: all tables end to end, where each begins, and how many bits it takes."""
+    row, symbol = np.nonzero(lengths)
+    used = np.bincount(row, minlength=len(lengths))
+    if not used.all():
+        raise ValueError("a prefix code is not complete")
+    key = np.sort(row << 20 | lengths[row, symbol] << 12 | symbol)
+    row, symbol = key >> 20, key & 4095
+    own = np.where(used[row] == 1, 0, key >> 12 & 255)
+    most = own[np.cumsum(used) - 1]
+    share = 1 << (most[row] - own)
+    if most.max(initial=0) > LONGEST or (np.bincount(row, share, len(lengths)) != 1 << most).any():
+        raise ValueError("a prefix code is not complete")
+    values = np.repeat((symbol << 4 | own).astype(np.uint16), share)
+    start = np.cumsum(1 << most) - (1 << most)
+    out = np.empty_like(values)
+    for m in np.unique(most).tolist():
+        which = start[most == m][:, None]
+        out[which + np.arange(1 << m)] = values[which + reversed_bits(m)]
+    return out, start, most
 
 
 def read_code(bits: Bits, size: int) -> np.ndarray:
@@ -145,6 +168,33 @@ def read_code(bits: Bits, size: int) -> np.ndarray:
     return lengths
 
 
+# The lengths' own code: sixteen symbols of 4 bits each, 0 to 13 and the runs of zeros.
+OWN = np.full(19, 4, np.int64)
+OWN[[14, 15, 16]] = 0
+#: What stands before a code that isn't simple: 0, the number of own lengths less 4, and these.
+OWN_CODE, OWN_BITS = 15 << 1 | sum(int(OWN[k]) << 5 + 3 * i for i, k in enumerate(CODE_LENGTH_ORDER)), 62
+
+
+@cache
+def _own_codes() -> np.ndarray:
+    return canonical(OWN[None])[0]
+
+
+@cache
+def _zeros() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits, their number and the number of symbols that stand for a run of zeros, of each length."""
+    codes, rows = _own_codes().tolist(), []
+    for left in range(LITERALS + LENGTHS + (1 << CACHE_BITS)):
+        value = n = tokens = 0
+        while left:
+            run = min(left, 138) if left > 2 else 1
+            s, extra, more = (0, 0, 0) if run < 3 else (17, run - 3, 3) if run < 11 else (18, run - 11, 7)
+            value |= (codes[s] | extra << 4) << n
+            n, tokens, left = n + 4 + more, tokens + 1, left - run
+        rows.append((value, n, tokens))
+    return tuple(np.array(rows, np.int64).T)
+
+
 def write_code(out: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (used < 256).all():
@@ -155,40 +205,47 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
         for s in used:
             out.put(int(s), 8)
         return
-    out.put(0, 1)
-    # The lengths' own code: sixteen symbols of 4 bits each, 0 to 13 and the runs of zeros.
-    own = np.full(19, 4, np.int64)
-    own[[14, 15, 16]] = 0
-    codes = canonical(own[None])[0]
-    out.put(15, 4)
-    for k in CODE_LENGTH_ORDER:
-        out.put(int(own[k]), 3)
-    last = int(used[-1]) + 1
-    tokens: list[tuple[int, int, int]] = []
-    at = 0
-    while at < last:
-        if lengths[at]:
-            tokens.append((int(lengths[at]), 0, 0))
-            at += 1
-            continue
-        n = int(used[np.searchsorted(used, at)]) - at
-        if n < 3:
-            tokens += [(0, 0, 0)] * n
-        elif n < 11:
-            tokens.append((17, n - 3, 3))
-        else:
-            n = min(n, 138)
-            tokens.append((18, n - 11, 7))
-        at += n
-    if len(tokens) == 1:
-        tokens.append((0, 0, 0))
-    out.put(1, 1)
-    out.put(4, 3)
-    out.put(len(tokens) - 2, 10)
-    for s, extra, n in tokens:
-        out.put(int(codes[s]), int(own[s]))
-        if n:
-            out.put(extra, n)
+    out.put(OWN_CODE, OWN_BITS)
+    codes, (zeros, zeros_n, zeros_tokens) = _own_codes(), _zeros()
+    gaps = np.diff(used, prepend=-1) - 1
+    tokens = len(used) + int(zeros_tokens[gaps].sum())
+    out.put(1 | 4 << 1 | max(0, tokens - 2) << 4, 14)
+    for gap, n in zip(gaps.tolist(), lengths[used].tolist()):
+        out.put(int(zeros[gap]), int(zeros_n[gap]))
+        out.put(int(codes[n]), 4)
+    if tokens == 1:
+        out.put(int(codes[0]), 4)
+
+
+def code_pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What write_code writes of each row of [rows, at most 256] lengths, none of them empty, all rows at once.
+
+    Pieces of at most 32 bits: the place of each in its row's bits, its value, its row; and each row's number of bits.
+    """
+    row, symbol = np.nonzero(lengths)
+    used = np.bincount(row, minlength=len(lengths))
+    simple = used <= 2
+    first = np.cumsum(used) - used  # each row's first symbol
+    gap = np.diff(symbol, prepend=0) - 1
+    gap[first] = symbol[first]
+    zeros, zeros_n, zeros_tokens = _zeros()
+    short = simple[row]
+    value = np.where(short, symbol, zeros[gap] | _own_codes()[lengths[row, symbol]] << zeros_n[gap])
+    n = np.where(short, 8, zeros_n[gap] + 4)
+    tokens = used + np.add.reduceat(zeros_tokens[gap], first)
+    heads = np.stack(
+        [
+            np.where(simple, 1 | (used - 1) << 1 | 1 << 2, OWN_CODE & 0xFFFFFFFF),
+            np.where(simple, 0, OWN_CODE >> 32),
+            np.where(simple, 0, 1 | 4 << 1 | (tokens - 2) << 4),
+        ],
+        1,
+    )
+    heads_at = np.where(simple[:, None], 0, [0, 32, OWN_BITS])
+    head = np.where(simple, 3, OWN_BITS + 14)
+    before = np.cumsum(n) - n
+    at = head[row] + before - before[first][row]
+    return np.r_[heads_at.ravel(), at], np.r_[heads.ravel(), value], np.r_[np.repeat(np.arange(len(lengths)), 3), row], head + np.add.reduceat(n, first)
 
 
 def fitted(counts: np.ndarray, longest: int = 10) -> np.ndarray:
@@ -247,8 +304,13 @@ class Plane:
     pixels: np.ndarray | None = None
 
 
+def _sizes(p: Plane) -> tuple[int, ...]:
+    """Symbols of a group's five codes."""
+    return LITERALS + LENGTHS + (1 << p.cache if p.cache else 0), 256, 256, 256, DISTANCES
+
+
 def _header(p: Plane, main: bool) -> None:
-    """Reads what stands before a plane's pixels; a main plane's entropy image is decoded on its own."""
+    """Reads what stands before a plane's pixels; a main plane's entropy image is decoded on its own, and its codes are left to _codes if they are one group."""
     bits = p.bits
     if bits.read(1):
         p.cache = bits.read(4)
@@ -265,16 +327,88 @@ def _header(p: Plane, main: bool) -> None:
         y, x = np.divmod(np.arange(p.width * p.height), p.width)
         p.chosen = which[(y >> size) * small.width + (x >> size)]
         groups = int(which.max()) + 1
-    sizes = (LITERALS + LENGTHS + (1 << p.cache if p.cache else 0), 256, 256, 256, DISTANCES)
-    p.tables = [lookup(read_code(bits, n)) for _ in range(groups) for n in sizes]
+    if not main or p.chosen is not None:
+        p.tables = [lookup(read_code(bits, n)) for _ in range(groups) for n in _sizes(p)]
 
 
-def _wide(data: np.ndarray) -> np.ndarray:
+def _wide(data: bytes) -> np.ndarray:
     """The 8 bytes from each byte on, as a number."""
-    out = data[:-7].astype(np.uint64)
-    for k in range(1, 8):
-        out |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
-    return out
+    return np.ndarray(len(data) - 7, "<i8", data, 0, (1,)).copy()
+
+
+def _codes(planes: list[Plane]) -> None:
+    """The codes of planes of one group, as read_code and lookup give them, read side by side: each step reads the next symbol of all."""
+    if not planes:
+        return
+    sizes = np.array([_sizes(p) for p in planes])
+    longest = int((82 + 14 * sizes).sum(1).max()) // 8 + 16  # bytes of the longest codes
+    skipped = np.array([p.bits.at >> 3 for p in planes])
+    chunks = [p.bits.data[k : k + longest] for p, k in zip(planes, skipped.tolist())]
+    ends = np.cumsum([len(c) for c in chunks]) * 8
+    base = np.r_[0, ends[:-1]]
+    wide = _wide(b"".join(chunks) + bytes(longest + 16))
+    at = base + np.array([p.bits.at & 7 for p in planes])
+
+    def take(who: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+        own = at[who]
+        at[who] = own + n
+        return wide[own >> 3] >> (own & 7) & (1 << n) - 1
+
+    everyone, found = np.arange(len(planes)), []
+    for size in sizes.T:
+        lengths = np.zeros((len(planes), int(size.max())), np.int64)
+
+        def single(who: np.ndarray, symbol: np.ndarray, size: np.ndarray = size, lengths: np.ndarray = lengths) -> None:
+            if (symbol >= size[who]).any():
+                raise ValueError("a prefix code has a symbol too many")
+            lengths[who, symbol] = 1
+
+        simple = take(everyone, 1) == 1
+        who = everyone[simple]
+        two = take(who, 1) == 1
+        single(who, take(who, np.where(take(who, 1) == 1, 8, 1)))
+        single(who[two], take(who[two], 8))
+        who = everyone[~simple]
+        if len(who):
+            count, own = 4 + take(who, 4), np.zeros((len(who), 19), np.int64)
+            for i, k in enumerate(CODE_LENGTH_ORDER):
+                has = count > i
+                own[has, k] = take(who[has], 3)
+            table, start, bits = lookups(own)
+            mask, limit = (1 << bits) - 1, size[who]
+            few = take(who, 1) == 1
+            most = limit.copy()
+            most[few] = 2 + take(who[few], 2 + 2 * take(who[few], 3))
+            place, before = np.zeros(len(who), np.int64), np.full(len(who), 8)
+            live = np.arange(len(who))
+            while len(live):
+                w, spot = who[live], place[live]
+                now = at[w]
+                got = table[start[live] + (wide[now >> 3] >> (now & 7) & mask[live])].astype(np.int64)
+                at[w] = now + (got & 15)
+                s, n = got >> 4, 1
+                plain = (s > 0) & (s < 16)
+                lengths[w[plain], spot[plain]] = s[plain]
+                before[live[plain]] = s[plain]
+                if (runs := np.flatnonzero(s >= 16)).size:
+                    n, kind = np.ones(len(live), np.int64), s[runs] - 16
+                    n[runs] = np.array([3, 3, 11])[kind] + take(w[runs], np.array([2, 3, 7])[kind])
+                    if (spot + n > limit[live]).any():
+                        raise ValueError("a prefix code has too many lengths")
+                    again = runs[kind == 0]
+                    for k in range(6):
+                        i = again[n[again] > k]
+                        lengths[w[i], spot[i] + k] = before[live[i]]
+                place[live] = spot = spot + n
+                most[live] -= 1
+                live = live[(spot < limit[live]) & (most[live] > 0)]
+        table, start, bits = lookups(lengths)
+        found.append((table, start.tolist(), (start + (1 << bits)).tolist()))
+    if (at > ends).any():
+        raise ValueError("the bitstream ends early")
+    for i, (p, bit) in enumerate(zip(planes, (at - base + 8 * skipped).tolist())):
+        p.bits.at = bit
+        p.tables = [table[start[i] : end[i]] for table, start, end in found]
 
 
 def _pixels(planes: list[Plane]) -> None:
@@ -291,17 +425,17 @@ def _pixels(planes: list[Plane]) -> None:
     first = np.r_[0, np.cumsum(sizes)[:-1]]
     out = np.zeros(int(sizes.sum()), np.uint32)
     skipped = np.array([p.bits.at >> 3 for p in planes])
-    chunks = [np.frombuffer(p.bits.data[k:] + bytes(16), np.uint8) for p, k in zip(planes, skipped)]
+    chunks = [p.bits.data[k:] + bytes(16) for p, k in zip(planes, skipped.tolist())]
     base = np.r_[0, np.cumsum([len(c) for c in chunks])[:-1]] * 8
-    wide = _wide(np.concatenate(chunks))
+    wide = _wide(b"".join(chunks))
     tables = [t for p in planes for t in p.tables]
     start = np.r_[0, np.cumsum([len(p.tables) for p in planes])[:-1]]  # number of each plane's first table
-    flat = np.concatenate(tables).astype(np.uint64)
-    origin = np.r_[0, np.cumsum([len(t) for t in tables])[:-1]].astype(np.uint64)
-    mask = np.array([len(t) - 1 for t in tables], np.uint64)
+    flat = np.concatenate(tables)
+    origin = np.r_[0, np.cumsum([len(t) for t in tables])[:-1]]
+    mask = np.array([len(t) - 1 for t in tables])
     own_origin, own_mask = [origin[start + k] for k in range(4)], [mask[start + k] for k in range(4)]
     plain_alpha = all(len(p.tables) == 5 and len(p.tables[3]) == 1 for p in planes)
-    at = (base + np.array([p.bits.at & 7 for p in planes])).astype(np.uint64)
+    at = base + np.array([p.bits.at & 7 for p in planes])
     many = any(p.chosen is not None for p in planes)
     chosen = np.concatenate([p.chosen if p.chosen is not None else np.zeros(s, np.int64) for p, s in zip(planes, sizes)]) if many else None
     cache_bits = np.array([p.cache for p in planes])
@@ -310,50 +444,52 @@ def _pixels(planes: list[Plane]) -> None:
     short = np.array(SHORT_DISTANCES)
     left, back = np.zeros(n, np.int64), np.ones(n, np.int64)
     copying = False
-    seven, three, four, low, byte = np.uint64(7), np.uint64(3), np.uint64(4), np.uint64(15), np.uint64(8)
 
     def peek(where: np.ndarray) -> np.ndarray:
-        """The next 57 bits."""
-        return wide[where >> three] >> (where & seven)
+        """The next 57 bits; what stands above them means nothing."""
+        return wide[where >> 3] >> (where & 7)
 
     def symbol(which: np.ndarray, table: np.ndarray) -> np.ndarray:
         got = flat[origin[table] + (peek(at[which]) & mask[table])]
-        at[which] += got & low
-        return (got >> four).astype(np.int64)
+        at[which] += got & 15
+        return (got >> 4).astype(np.int64)
 
     def extra(which: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The value of a length or distance code."""
         n = np.maximum(code - 2, 0) >> 1
-        value = np.where(code < 4, code, ((2 + (code & 1)) << n) + (peek(at[which]).astype(np.int64) & (1 << n) - 1)) + 1
-        at[which] += n.astype(np.uint64)
+        value = np.where(code < 4, code, ((2 + (code & 1)) << n) + (peek(at[which]) & (1 << n) - 1)) + 1
+        at[which] += n
         return value
 
     def literals(m: int, step: int) -> bool:
         """The short way; False, with nothing done, if some plane's next symbol is no literal."""
         now = at[:m]
-        w = wide[now >> three] >> (now & seven)
+        w = peek(now)
         g = flat[own_origin[0][:m] + (w & own_mask[0][:m])]
-        if (g >= LITERALS << 4).any():
+        if g.max() >= LITERALS << 4:
             return False
-        used = g & low
+        used = g & 15
         w >>= used
         r = flat[own_origin[1][:m] + (w & own_mask[1][:m])]
-        n = r & low
+        n = r & 15
         w >>= n
         used += n
         b = flat[own_origin[2][:m] + (w & own_mask[2][:m])]
-        used += b & low
+        used += b & 15
         now += used
         if plain_alpha:
             a = alphas[:m]
         else:
             a = flat[own_origin[3][:m] + (peek(now) & own_mask[3][:m])]
-            now += a & low
-            a = (a >> four) << np.uint64(24)
-        out[first[:m] + step] = a | (r >> four) << np.uint64(16) | (g >> four) << byte | b >> four
+            now += a & 15
+            a = (a >> 4).astype(np.uint32) << np.uint32(24)
+        a = a | b >> 4
+        a |= g >> 4 << 8
+        a |= (r >> 4).astype(np.uint32) << np.uint32(16)
+        out[first[:m] + step] = a
         return True
 
-    alphas = (flat[own_origin[3]] >> four) << np.uint64(24)
+    alphas = (flat[own_origin[3]] >> 4).astype(np.uint32) << np.uint32(24)
     active = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left")
     for step, m in enumerate(active.tolist()):
         if not copying and not many and caches is None and literals(m, step):
@@ -521,9 +657,10 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
         _header(p, True)
         mains.append(p)
         todo.append((width, height, steps))
-    rich = [p for p in mains if p.cache or p.chosen is not None or int(p.tables[0].max()) >> 4 >= LITERALS]
-    _pixels([p for p in mains if not any(p is r for r in rich)] if rich else mains)
-    _pixels(rich)
+    _codes([p for p in mains if p.chosen is None])
+    rich = [p.cache > 0 or p.chosen is not None or int(p.tables[0].max()) >> 4 >= LITERALS for p in mains]
+    _pixels([p for p, is_rich in zip(mains, rich) if not is_rich])
+    _pixels([p for p, is_rich in zip(mains, rich) if is_rich])
     out = []
     for p, (width, height, steps) in zip(mains, todo):
         x = p.pixels
@@ -713,6 +850,19 @@ def _few_colours(x: np.ndarray) -> bool:
     return len(flat) >= LEAST_PIXELS and len(np.unique(flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2])) * FEW <= len(flat)
 
 
+#: Simple codes of one symbol: alpha 255, distance 0.
+LAST_CODES = (1 | 1 << 2 | 255 << 3) | (1 | 1 << 2) << 11
+
+
+def _placed(at: np.ndarray, value: np.ndarray, words: int) -> np.ndarray:
+    """Words of 32 bits, as doubles that hold them exactly, with each value (32 bits at most) at its bit; no two share a bit."""
+    shifted = value.astype(np.uint64) << (at & 31).astype(np.uint64)
+    word = at >> 5
+    out = np.bincount(word, shifted & np.uint64(0xFFFFFFFF), words)
+    out[1:] += np.bincount(word, shifted >> np.uint64(32), words)[:-1]
+    return out
+
+
 def encode_rgb(images: list[np.ndarray]) -> list[bytes]:
     """A file of each image ([height, width, 3] bytes): literals under prefix codes fitted to each image's channels, and other ways where there are few colours."""
     if not images:
@@ -732,42 +882,37 @@ def encode_rgb(images: list[np.ndarray]) -> list[bytes]:
     if not rest:
         return files
     sizes = np.array([images[i].shape[0] * images[i].shape[1] for i in rest])
-    pixels = np.concatenate([images[i].reshape(-1, 3) for i in rest])[:, [1, 0, 2]].astype(np.int64)  # green, red, blue
+    pixels = np.concatenate([images[i].reshape(-1, 3) for i in rest])
     owner = np.repeat(np.arange(len(rest)), sizes)
-    row = owner[:, None] * 3 + np.arange(3)
-    counts = np.bincount((row * 256 + pixels).ravel(), minlength=len(rest) * 3 * 256).reshape(-1, 256)
+    cells = [owner * 768 + (256 * k + pixels[:, channel].astype(np.int64)) for k, channel in enumerate((1, 0, 2))]  # green, red, blue
+    counts = sum(np.bincount(c, minlength=len(rest) * 768) for c in cells).reshape(-1, 256)
     lengths = fitted(counts)
-    codes = canonical(lengths)
-    alone = (lengths > 0).sum(1) == 1  # these take no bits
-    n = np.where(alone[:, None], 0, lengths)[row, pixels]
-    code = np.where(alone[:, None], 0, codes)[row, pixels]
-    value = (code[:, 0] | code[:, 1] << n[:, 0] | code[:, 2] << (n[:, 0] + n[:, 1])).astype(np.uint64)
-    width = n.sum(1)
-    heads = []
-    for k, i in enumerate(rest):
-        out = _opened(images[i].shape[1], images[i].shape[0])
-        out.put(0, 3)  # no transform, no colour cache, one group
-        for c in range(3):
-            write_code(out, lengths[3 * k + c])
-        write_code(out, _single(255, 256))
-        write_code(out, _single(0, DISTANCES))
-        heads.append(out)
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    bits = np.add.reduceat(width, first)
-    words = (np.array([h.n for h in heads]) + bits + 31) // 32 + 1
-    origin = np.r_[0, np.cumsum(words)[:-1]]
-    before = np.cumsum(width) - width
-    at = before - before[first][owner] + np.array([h.n for h in heads])[owner] + 32 * origin[owner]
-    stream = np.zeros(int(words.sum()) + 2, np.uint64)
-    shifted = value << (at & 31).astype(np.uint64)
-    word = at >> 5
-    heads_at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    stream[word[heads_at]] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), heads_at)
-    stream[word[heads_at] + 1] += np.add.reduceat(shifted >> np.uint64(32), heads_at)
-    stream = stream.astype(np.uint32)
-    for k, i in enumerate(rest):
-        h, own = heads[k], stream[origin[k] : origin[k] + words[k]]
-        m = -(-h.n // 32)
-        own[:m] |= np.frombuffer(h.word.to_bytes(4 * m, "little"), np.uint32)
-        files[i] = riff(own.tobytes()[: -(-(h.n + int(bits[k])) // 8)])
+    alone = (lengths > 0).sum(1, keepdims=True) == 1  # these take no bits
+    table = np.where(alone, 0, canonical(lengths) | lengths << 16).astype(np.uint32).ravel()
+    value, width = np.zeros((2, len(pixels)), np.uint32)
+    for c in cells:
+        got = table[c]
+        value |= (got & 0xFFFF) << width
+        width += got >> 16
+    del cells
+    # Each image: its opening (no transform, no colour cache, one group), three codes, those of alpha and distances, its pixels.
+    opening, last = 8 + 14 + 14 + 1 + 3 + 3, 2 * 11
+    at, piece, row, row_bits = code_pieces(lengths)
+    row_bits = row_bits.reshape(-1, 3)
+    code_at = opening + np.cumsum(row_bits, 1) - row_bits
+    head = opening + row_bits.sum(1) + last
+    first = np.cumsum(sizes) - sizes
+    n = head + np.add.reduceat(width, first, dtype=np.int64)
+    words = (n + 31) // 32 + 1
+    origin = np.cumsum(words) - words
+    start = 32 * origin
+    before = np.cumsum(width, dtype=np.int64) - width
+    total = int(words.sum()) + 1
+    shape = np.array([images[i].shape[:2] for i in rest]) - 1
+    stream = _placed(np.r_[start, start + 22, start + head - last], np.r_[0x2F | shape[:, 1] << 8, shape[:, 0], np.full(len(rest), LAST_CODES)], total)
+    stream += _placed(start[row // 3] + code_at.ravel()[row] + at, piece, total)
+    stream += _placed(before + (start + head - before[first])[owner], value, total)
+    stream = stream.astype("<u4")
+    for i, begin, bits in zip(rest, origin.tolist(), n.tolist()):
+        files[i] = riff(stream[begin : begin + -(-bits // 32)].tobytes()[: -(-bits // 8)])
     return files

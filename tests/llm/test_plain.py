@@ -1,5 +1,7 @@
 """What needs no Spark: codecs, packing, apportionment, hashing, the classifier, against brute force."""
 
+import cProfile
+import hashlib
 import math
 import random
 from collections import Counter
@@ -362,6 +364,111 @@ def test_fitted_codes_are_complete(rows):
         assert (1 << (10 - lengths[lengths > 0])).sum() == 1 << 10
 
 
+def _lettered(n: int) -> list[bytes]:
+    rng = random.Random(8)
+    return [media.payload(bytes(rng.choices(range(32, 32 + rng.randint(30, 90)), k=rng.choice([700, 6144, 2000])))) for _ in range(n)]
+
+
+def test_codes_of_all_images_are_coded_side_by_side():
+    def calls(payloads: list[bytes]) -> int:
+        profile = cProfile.Profile()
+        profile.enable()
+        media.read(media.store(payloads))
+        profile.disable()
+        return sum(s.callcount for s in profile.getstats())
+
+    texts = _lettered(600)
+    assert (calls(texts) - calls(texts[:200])) / 400 < 250  # 1,711 where each code was written and read by itself
+
+
+def test_stored_bytes_stay_as_they_were():
+    texts = [*_lettered(60), *(media.payload(t) for t in (b"", b"x", b"ab" * 4000, bytes(range(256)) * 50, b"\x00\xff" * 99 + b"abc"))]
+    stored = media.store(texts)
+    assert hashlib.sha256(b"".join(stored)).hexdigest() == "c65acba9f62e150c793883605d4a7275ce2258b9155f5e806f4da1e9f7494cbc"  # of the encoder before
+    assert [x.tobytes() for x in media.read(stored)] == texts
+
+
+@given(st.lists(st.dictionaries(st.integers(0, 255), st.integers(1, 99_999), min_size=1, max_size=200), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_codes_side_by_side_are_those_written_and_read_alone(rows):
+    counts = np.zeros((len(rows), 256), np.int64)
+    for i, own in enumerate(rows):
+        counts[i, list(own)] = list(own.values())
+    lengths = webp.fitted(counts)
+    at, value, row, bits = webp.code_pieces(lengths)
+    for i, own in enumerate(lengths):
+        out = webp.Writer()
+        webp.write_code(out, own)
+        assert out.n == bits[i]
+        assert out.word == sum(v << a for a, v, r in zip(at.tolist(), value.tolist(), row.tolist()) if r == i)
+    tables, start, most = webp.lookups(lengths)
+    for own, a, m in zip(lengths, start, most):
+        assert (tables[a : a + (1 << m)] == webp.lookup(own)).all()
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(0, 15), st.integers(1, 150)), min_size=1, max_size=20), min_size=1, max_size=5), st.randoms(use_true_random=False))
+@settings(max_examples=60, deadline=None)
+def test_planes_codes_side_by_side_with_runs_and_limits(seeds, rng):
+    """Codes with runs of all three kinds, with and without a limit of symbols, of planes with and without a cache."""
+    streams, caches = [], []
+    for runs in seeds:
+        out, cache = webp.Writer(), rng.choice([0, 0, 3, 6])
+        shift = rng.randrange(8)
+        out.put(0, shift)
+        for size in webp._sizes(webp.Plane(webp.Bits(b""), 1, 1, cache)):
+            counts = np.zeros((1, size), np.int64)
+            for s, n in runs:
+                counts[0, (s * 17) % size : (s * 17) % size + n] = 1 + s
+            _with_runs(out, webp.fitted(counts)[0], rng)
+        streams.append((out.word.to_bytes(-(-out.n // 8), "little"), shift, out.n)), caches.append(cache)
+    together, alone = ([webp.Plane(webp.Bits(b, k), 1, 1, c) for (b, k, _), c in zip(streams, caches)] for _ in range(2))
+    webp._codes(together)
+    for p, q, (_, _, end) in zip(together, alone, streams):
+        tables = [webp.lookup(webp.read_code(q.bits, n)) for n in webp._sizes(q)]
+        assert p.bits.at == q.bits.at == end
+        assert all((a == b).all() for a, b in zip(p.tables, tables, strict=True))
+
+
+def _with_runs(out: webp.Writer, lengths: np.ndarray, rng: random.Random) -> None:
+    """A code that isn't simple, its lengths' own code of 19 symbols, repeats of lengths and of zeros where they can be."""
+    own = np.array([4] * 13 + [5] * 6)
+    codes = webp.canonical(own[None])[0]
+    limited = rng.random() < 0.5
+    values, tokens, before = lengths.tolist(), [], 8
+    if limited:
+        while not values[-1]:
+            values.pop()
+    at = 0
+    while at < len(values):
+        v, n = values[at], 1
+        while at + n < len(values) and values[at + n] == v:
+            n += 1
+        if v == 0 and n >= 11:
+            n = min(n, 138)
+            tokens.append((18, n - 11, 7))
+        elif v == 0 and n >= 3:
+            tokens.append((17, n - 3, 3))
+        elif v and v == before and n >= 3:
+            n = min(n, 6)
+            tokens.append((16, n - 3, 2))
+        else:
+            n = 1
+            tokens.append((v, 0, 0))
+            before = v or before
+        at += n
+    if limited and len(tokens) < 2:
+        tokens.append((0, 0, 0))
+    out.put(0, 1), out.put(15, 4)
+    for k in webp.CODE_LENGTH_ORDER:
+        out.put(int(own[k]), 3)
+    out.put(int(limited), 1)
+    if limited:
+        out.put(4, 3), out.put(len(tokens) - 2, 10)
+    for s, extra, n in tokens:
+        out.put(int(codes[s]), int(own[s]))
+        out.put(extra, n)
+
+
 # --- similarity -------------------------------------------------------------
 
 
