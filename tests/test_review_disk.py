@@ -65,3 +65,8 @@ def test_texts_of_papers_are_not_shuffled_to_be_counted(spark):
     while "Join" not in plan.nodeName():
         plan = plan.children().apply(0)
     assert all("paper_text" not in plan.children().apply(k).output().toString() for k in range(2))
+
+
+def test_rows_of_equal_paper_and_pos_do_not_multiply(spark):
+    rows = R.scoring.scored(R._raw(spark.range(6).selectExpr("'p' AS paper_id", "id % 3 AS pos", "id % 3 AS id", "'contribution' AS dimension", "id AS n_chars"), *R.ROUND_1))
+    assert Reviewer(spark)._ranked(rows).count() == 6
